@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the re-run of tasks, not of the plan
     above, and a plan that is read twice is computed once.
     """
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -95,6 +95,23 @@ def shared_value(spark: SparkSession, value):
     return prepare(spark).sparkContext.broadcast(value)
 
 
+def roots(parents: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+    """(id, root) of a forest given as one (a, b) row a node, b < a its parent, by pointer jumping.
+
+    A round halves every node's distance to its root. Roots themselves have no row
+    in ``parents`` and get one here.
+    """
+    now = parents.select("a", "b")
+    for _ in range(rounds):
+        up = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        now = written(now.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), name)
+        if now.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"roots did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
 def connected(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(id, root) for each id in ``edges`` (a, b): root is the smallest id reachable.
 

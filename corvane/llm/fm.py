@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,35 @@ from corvane.llm.common import bounded_ids, chunks, shared_value, written
 
 BUCKETS = 1 << 20
 #: Bound of the labelled sample, of the features, and the rank of the machine.
-LABELLED, FEATURES, RANK = 12_000, 512, 8
+LABELLED, FEATURES, RANK = 8_000, 512, 8
 STEPS, BATCH, RATE, DECAY = 900, 1024, 0.03, 1e-4
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 REMEMBERED = 1_000_000
+BEGINNINGS = (3, 4, 5, 6)
 
 
 class Hashed(dict):
-    """Word as it stands -> bucket of its lower-case form without marks at its ends (-1: nothing left)."""
+    """Word as it stands -> buckets of its lower-case form without marks at its ends, and of that form's beginnings.
 
-    def __missing__(self, word: str) -> int:
+    Beginnings (3 to 6 characters) carry a stem over to inflected and compound
+    forms. With ``chosen``, other buckets are left out.
+    """
+
+    def __init__(self, chosen=None):
+        super().__init__()
+        self.chosen = chosen
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         plain = _EDGE.sub("", word)
-        self[word] = out = xxhash.xxh32_intdigest(plain.encode("utf-8", "surrogatepass")) % BUCKETS if plain else -1
+        terms = [plain, *("^" + plain[:k] for k in BEGINNINGS if len(plain) > k)] if plain else []
+        found = (xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms)
+        self[word] = out = tuple(b for b in found if self.chosen is None or b in self.chosen)
         return out
 
 
 def words_only(text: str, known: Hashed) -> set[int]:
     """Buckets of the distinct words of a text."""
-    return set(map(known.__getitem__, set(text.lower().split())))
+    return set(chain.from_iterable(map(known.__getitem__, set(text.lower().split()))))
 
 
 _STATS = ("log_words", "distinct", "mean_length", "upper", "digit", "mark", "top_word", "repeated_lines", "line_length", "space_marks", "log_chars", "long_words")
@@ -159,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, structure:
     if not n or positive in (0, n):
         return fit([[]] * n, np.full(n, bool(positive)), []), edges
     # The z value of a bucket's share in the two classes, smoothed; both directions count.
-    found = rows.select("y", F.explode("b").alias("b")).where("b >= 0").groupBy("b").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("c"))
+    found = rows.select("y", F.explode("b").alias("b")).groupBy("b").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("c"))
     p1, p0 = (F.col("p")) / F.lit(float(positive)), (F.col("c") - F.col("p")) / F.lit(float(n - positive))
     mean = (F.col("c") + 1.0) / F.lit(float(n + 2))
     z = F.abs(p1 - p0) / F.sqrt(mean * (1 - mean) * F.lit(1.0 / positive + 1.0 / (n - positive)))
@@ -178,7 +190,7 @@ def score(docs: DataFrame, model, structure: bool, keep: tuple[str, ...] = ("doc
 
     def run(batches):
         machine, edges = shared.value
-        feature, known = with_structure(edges) if structure and len(edges) else words_only, Hashed()
+        feature, known = with_structure(edges) if structure and len(edges) else words_only, Hashed(machine.place)
         for part, texts in chunks(batches, "__text"):
             if len(known) > REMEMBERED:
                 known.clear()

@@ -193,8 +193,12 @@ def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS
 _LATTICES: dict[int, Lattice] = {}
 
 
-def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` (posterior of that language given equal priors)."""
+def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` (posterior of that language given equal priors).
+
+    With ``name`` the two are called ``<name>_pred`` and ``<name>_score``.
+    """
+    pred_name, score_name = (f"{name}_pred", f"{name}_score") if name else ("lang_pred", "score")
     source = docs.select(*keep, F.col("text").alias("__text"))
     types = dict(source.dtypes)
 
@@ -223,10 +227,10 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> Data
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 post.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*keep, pred_name, score_name])
 
     head = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return source.mapInArrow(run, head + "lang_pred string, score double")
+    return source.mapInArrow(run, head + f"{pred_name} string, {score_name} double")
 
 
 def held_out(parts: int = 3, remainder: int = 1):
