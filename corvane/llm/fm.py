@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,17 @@ BUCKETS = 1 << 20
 LABELLED, FEATURES, RANK = 8_000, 512, 8
 STEPS, BATCH, RATE, DECAY = 900, 1024, 0.03, 1e-4
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_TAIL = re.compile(r"[\W_]{1,8}$")
 REMEMBERED = 1_000_000
 BEGINNINGS = (3, 4, 5, 6)
 
 
 class Hashed(dict):
-    """Word as it stands -> buckets of its lower-case form without marks at its ends, and of that form's beginnings.
+    """Word as it stands -> buckets of its terms.
 
-    Beginnings (3 to 6 characters) carry a stem over to inflected and compound
-    forms. With ``chosen``, other buckets are left out.
+    Terms are its lower-case form without marks at its ends, that form's beginnings
+    (3 to 6 characters, which carry a stem over to inflected and compound forms) and
+    the run of marks at its end. With ``chosen``, other buckets are left out.
     """
 
     def __init__(self, chosen=None):
@@ -52,6 +55,8 @@ class Hashed(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         plain = _EDGE.sub("", word)
         terms = [plain, *("^" + plain[:k] for k in BEGINNINGS if len(plain) > k)] if plain else []
+        if marks := _TAIL.search(word):
+            terms.append("$" + marks[0])
         found = (xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms)
         self[word] = out = tuple(b for b in found if self.chosen is None or b in self.chosen)
         return out
@@ -62,29 +67,25 @@ def words_only(text: str, known: Hashed) -> set[int]:
     return set(chain.from_iterable(map(known.__getitem__, set(text.lower().split()))))
 
 
-_STATS = ("log_words", "distinct", "mean_length", "upper", "digit", "mark", "top_word", "repeated_lines", "line_length", "space_marks", "log_chars", "long_words")
-
-
-def statistics(text: str) -> np.ndarray:
-    """Structure of a text: sizes and shares, all from the whole text."""
+def statistics(text: str) -> list[float]:
+    """Structure of a text, all from the whole text: sizes, shares of kinds of characters, and repetition."""
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    words = text.split()
-    lines = text.split("\n")
-    n, total = max(1, len(words)), max(1, int(raw.sum()))
-    letters = int(raw[65:91].sum() + raw[97:123].sum() + raw[128:].sum())
+    words, lines = text.split(), text.split("\n")
+    n, total = max(1, len(words)), max(1, len(text))
+    upper, lower, other = int(raw[65:91].sum()), int(raw[97:123].sum()), int(raw[192:].sum())
     marks = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum())
-    kinds = set(words)
-    runs = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return np.array([
-        np.log1p(len(words)), len(kinds) / n, total / n, raw[65:91].sum() / max(1, letters), raw[48:58].sum() / total, marks / total,
-        runs / n, 1 - len(set(lines)) / len(lines), np.log1p(total / len(lines)), sum(len(w) == 1 and not w.isalnum() for w in kinds) / max(1, len(kinds)), np.log1p(total), sum(len(w) > 25 for w in kinds) / n,
-    ])
+    repeats = sum(map(eq, words, islice(words, 1, None)))
+    return [
+        np.log1p(len(words)), np.log1p(total), total / n, np.log1p(total / len(lines)),
+        upper / max(1, upper + lower + other), int(raw[48:58].sum()) / total, marks / total, marks / n,
+        len(set(words)) / n, repeats / n, 1 - len(set(lines)) / len(lines),
+    ]
 
 
 def with_structure(edges: np.ndarray) -> Callable[[str, Hashed], set[int]]:
     """Words, and each statistic's bin as one more bucket (beyond the words' buckets)."""
     def run(text: str, known: Hashed) -> set[int]:
-        bins = (edges <= statistics(text)[:, None]).sum(axis=1)
+        bins = (edges <= np.array(statistics(text))[:, None]).sum(axis=1)
         return words_only(text, known) | {BUCKETS + 64 * k + int(b) for k, b in enumerate(bins)}
     return run
 
@@ -159,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, structure:
     if structure:
         def stats(batches):
             for part, texts in chunks(batches, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([statistics(t).tolist() for t in texts], pa.list_(pa.float64()))], names=["s"])
+                yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=["s"])
         values = sample.select("text").mapInArrow(stats, "s array<double>").toArrow().column("s").to_pylist()
         if values:
             edges = np.quantile(np.array(values), np.linspace(0.02, 0.98, 25), axis=0).T.copy()
