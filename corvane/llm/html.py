@@ -4,7 +4,7 @@ A page is a sequence of tokens. A word scores positive and a tag negative; the
 weights come from labelled pages, that is pages of a bounded sample that mark their
 article (``article`` or ``main``): a word's weight is the share of words in its
 context that stand in an article, a tag's is minus the share of its uses outside.
-Words of elements that are no main text (menus, forms, adverts, ...) score -1. One
+Elements that are no main text (menus, forms, adverts, ...) score nothing. One
 pass finds the run of greatest sum. The region is then fitted to the article
 element that holds most of it, if there is one, and words of excluded elements
 inside it are left out.
@@ -121,7 +121,7 @@ class Page:
             n = len(text.split()) if kind == "w" else 1
             if not n:
                 continue
-            total += -n if excluded else n * weights.get((kind, key), 0.5 if kind == "w" else -0.5)
+            total += 0 if excluded else n * weights.get((kind, key), 0.5 if kind == "w" else -0.5)
             if total <= 0:
                 total, begin = 0.0, k + 1
             elif total > best:

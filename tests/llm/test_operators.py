@@ -1,0 +1,386 @@
+"""The training-data operators against brute force, known answers, round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+import string
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import bpe, chat, common, decontaminate, fm, html, langid, lattice, minhash, pii
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+SMALL = "/root/testdata/sf0.001"
+
+
+def docs(spark, texts, **more):
+    rows = [(i, t, more.get("lang", "en"), "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(n, seed, size=400):
+    rng = random.Random(seed)
+    pool = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 8))) for _ in range(size)]
+    return [rng.choice(pool) for _ in range(n)]
+
+
+ODD = [None, "", "   ", "\n\t", "a", "a b", "é" * 40, "日本語 " * 30, "x" * 5000, "word " * 3000, "😀 b\x1cc", "A  b\n\n c "]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        content = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines())}
+    return bpe.load(content, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(tokenizer):
+    ours, library = tokenizer
+    rng = random.Random(5)
+    parts = ["a", "ab", "é", " ", "  ", "\n", "\n ", "1", "12", "!!", "日本", "😀", "ing", " the", "\t", "aaaa", "'s", "<|endoftext|>", "　", "\x1c"]
+    texts = [t for t in ODD if t is not None] + ["".join(rng.choices(parts, k=rng.randint(0, 50))) for _ in range(3000)]
+    for text, ids in zip(texts, ours.encode_texts(texts, {}), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert ours.decode_bytes(ids) == text.encode()
+
+
+def test_bpe_rows(spark, tokenizer):
+    df = docs(spark, ODD).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1))
+    got = bpe.encode_documents(df, RANKS, P.PATTERN, digests=True).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        text = ODD[r.doc_id] or ""
+        ids = tokenizer[1].encode_ordinary(text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    plain = bpe.encode_documents(df, RANKS, P.PATTERN).collect()
+    assert all(r.decoded == (ODD[r.doc_id] or "") for r in plain)
+    assert bpe.encode_documents(df.where("false"), RANKS, P.PATTERN).count() == 0
+
+
+def test_lattice_of_segmentations_by_enumeration():
+    with open(RANKS, "rb") as f:
+        keys = langid.vocabulary_keys(f.read())
+    la = langid.Lattice(keys)
+    rng = np.random.default_rng(0)
+    p = np.vstack((rng.random((len(keys), 2)), np.zeros((1, 2))))
+    row = {int(k): i for i, k in enumerate(keys)}
+
+    def total(word):
+        if not word:
+            return np.ones(2)
+        out = np.zeros(2)
+        for n in range(1, min(len(word), langid.LONGEST) + 1):
+            at = row.get(int.from_bytes(b"\1" + word[:n], "big"))
+            if at is not None:
+                out = out + p[at] * total(word[n:])
+        return out
+
+    samples = [b" the", b" achlich", "été".encode(), b"a", b"", b"zzqx"]
+    got = la.log_scores(samples, p)
+    assert np.allclose(got, [np.log(total(w)) for w in samples])
+    long = b" abc" * 40  # beyond LONG_WORD: the rescaled pass
+    short = np.array([[*long]], np.uint8)
+    q = p * 0.01
+    assert np.allclose(la.log_scores([long], q)[0], np.log(la.forward(short, q, la.rows(short))[-1][0]), rtol=1e-6)
+
+
+def test_language_ids(spark):
+    d = common.table(spark, SMALL, "documents")
+    model = langid.learn(d, RANKS, common.fold("doc_id", 3) != 1)
+    got = langid.predict(d, model, keep=("doc_id", "lang")).where(common.fold("doc_id", 3) == 1).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    odd = {r.doc_id: r for r in langid.predict(docs(spark, ODD + ["123 !!"]), model).collect()}
+    assert [odd[i].lang_pred for i in (0, 1, 2, 3, len(ODD))] == ["und"] * 5 and odd[0].score == 0
+    assert all(0 <= r.score <= 1 for r in odd.values())
+    none = langid.learn(d.where("false"), RANKS)
+    assert {r.lang_pred for r in langid.predict(docs(spark, ["some text"]), none).collect()} == {"und"}
+
+
+def test_pairwise_term_by_the_identity():
+    rng = np.random.default_rng(1)
+    m = fm.Machine({10: 0, 11: 1, 12: 2}, 0.3, rng.normal(size=3), rng.normal(size=(3, 4)))
+    z = 0.3 + m.w.sum() + sum(m.v[i] @ m.v[j] for i in range(3) for j in range(i))
+    assert abs(m.score({10, 11, 12, 99}) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_machine_learns_an_interaction():
+    rng = np.random.default_rng(2)
+    rows = [[k for k in range(4) if rng.random() < 0.5] for _ in range(1500)]
+    y = np.array([int(0 in r and 1 in r) for r in rows])
+    m = fm.fit(rows, y, [0, 1, 2, 3])
+    assert m.score({0, 1}) > 0.9 and m.score({0}) < 0.2 and m.score({1, 2}) < 0.2
+
+
+@pytest.mark.parametrize("structure", [False, True])
+def test_classifier_on_planted_words(spark, structure):
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        w = words(40, 9)
+        rng.shuffle(w)
+        texts.append(" ".join(w[:20] + (["Awful,", "nonsense!"] if bad else []) + w[20:]))
+        labels.append((i, int(bad)))
+    d = docs(spark, texts + ODD)
+    lab = spark.createDataFrame(labels + [(3, None), (None, 1), (3, 1)], "doc_id bigint, y int")
+    model = fm.learn(d, lab, "y", common.fold("doc_id", 4) != 2, structure=structure)
+    got = {r.doc_id: r for r in fm.score(d, model, structure).collect()}
+    held = [i for i in range(600) if __import__("zlib").crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    nothing = fm.learn(d, lab.where("false"), "y", F.lit(True), structure=structure)
+    assert {r.predicted for r in fm.score(d, nothing, structure).collect()} == {0}
+
+
+def near_texts():
+    rng = random.Random(11)
+    out = list(ODD)
+    for g in range(25):
+        base = words(rng.randint(5, 120), g)
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = "changed" + str(rng.random())
+            out.append(("  ".join(copy)).upper() if rng.random() < 0.3 else " ".join(copy))
+    shared = words(60, 77)
+    out += [" ".join(words(40, 100 + k) + shared + words(30, 200 + k)) for k in range(60)]
+    return out
+
+
+@pytest.mark.parametrize("spread", [4096, 3])
+def test_minhash_components_against_brute_force(spark, monkeypatch, spread):
+    monkeypatch.setattr(minhash, "SPREAD", spread)
+    texts = near_texts()
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r for r in minhash.components(docs(spark, texts).withColumn("id", F.lit(1)).withColumn("key", F.lit("x"))).collect()}
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
+    assert minhash.components(docs(spark, texts).where("false")).count() == 0
+
+
+def test_minhash_null_and_repeated_ids(spark):
+    text = " ".join(words(30, 1))
+    rows = [(None, text), (5, text), (5, text), (3, "other words that stand here alone"), (7, text)]
+    got = sorted(minhash.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
+    assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(None, None, True), (3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False)]
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
+    got = {r.id: r.root for r in common.connected(spark.createDataFrame(edges, "a bigint, b bigint"), "t").collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 160))
+    forest = spark.createDataFrame([(i + 1, i) for i in range(50)], "a bigint, b bigint")
+    assert {r.root for r in common.roots(forest, "t").collect()} == {0}
+
+
+def test_tiling_catches_reordered_passages(spark):
+    items = [" ".join(words(40, 300 + k)) for k in range(5)] + ["three short words", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    w = items[1].split()
+    texts = [
+        f"start {items[0]} end", "before " + " ".join(w[20:]) + " middle " + " ".join(w[:20]), " ".join(items[2].split()[:12]), " ".join(words(50, 1)), "has THREE short, words! inside",
+        " ".join(x if k % 4 else "edited" for k, x in enumerate(items[3].split())), *ODD,
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (4, 5)}
+    assert got[0, 0].coverage == 1 and got[1, 1].n_tiles == 2 and got[1, 1].coverage == 1
+    kept = {r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {0, 1, 4}
+    assert decontaminate.leaks(docs(spark, texts), bench.where("false")).count() == 0
+    assert decontaminate.clean(docs(spark, texts), bench.where("false")).count() == len(texts)
+
+
+def test_tiles_are_longest_first_by_brute_force():
+    rng = np.random.default_rng(5)
+
+    def greedy(text, item, least):
+        used_t, used_i, count = set(), set(), 0
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(text)):
+                for j in range(len(item)):
+                    n = 0
+                    while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n] and i + n not in used_t and j + n not in used_i:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i, j)
+            if best[0] < least:
+                return len(used_i), count
+            used_t |= set(range(best[1], best[1] + best[0]))
+            used_i |= set(range(best[2], best[2] + best[0]))
+            count += 1
+
+    for _ in range(60):
+        item, text = rng.integers(1, 4, 20).astype(np.uint64), rng.integers(1, 4, 30).astype(np.uint64)
+        pairs = [(i, j) for i in range(26) for j in range(16) if (text[i : i + 5] == item[j : j + 5]).all()]
+        assert decontaminate.tiles(text, item, pairs)[:2] == greedy(text.tolist(), item.tolist(), 5)
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS.values()):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            checks = (True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 12 <= len(digits) <= 19 and sum((lambda n: n - 9 if n > 9 else n)(int(c) * (1 + i % 2)) for i, c in enumerate(digits[::-1])) % 10 == 0, 9 <= len(digits) <= 15)
+            if checks[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(8)
+    parts = ["a", "b.c", "@", "x@y.zz", ".", "-", "+1", "+", "12", "4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "300.1.1.1", "5.6.7.8.9", " ", "(017) 555-7713", "+1 (017) 555-7713", "%", "é", "٣", "\n", "@@"]
+    for _ in range(8000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    secret = "zed@mail.example.com"
+    texts = [f"report {k} about quixotic of {secret} with ordinary words" for k in range(6)] + [f"note {k} with ordinary words about nothing" for k in range(300)] + ODD
+    found = {r.doc_id: r for r in pii.find(docs(spark, texts)).withColumn("text", pii.spans_text()).collect()}
+    assert len(found) == len(texts)
+    for i in range(6):
+        names = {texts[i][s.s : s.e] for s in found[i].spans if s.k == 4}
+        assert "quixotic" in names and not names & {"ordinary", "words", "about", "with"}
+        assert found[i].kinds == [1, 0, 0, 0] and found[i].base_sha256 == hashlib.sha256(",".join(f"email:{s}:{e}" for s, _, e in plain_spans(texts[i])).encode()).hexdigest()
+    assert all(not found[i].spans for i in range(6, len(texts)))
+    out = {r.doc_id: r for r in pii.masked(docs(spark, texts)).collect()}
+    assert secret not in out[0].text and "[EMAIL]" in out[0].text and "quixotic" not in out[0].text
+    assert [out[i].text for i in range(6, len(texts))] == texts[6:]
+    copies = docs(spark, [texts[0]] * 10)  # one text and its copies are no statistics
+    assert all({s.k for s in r.spans} == {0} for r in pii.find(copies).collect())
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies &amp; more</div><!-- x -->
+{open}<h1>Head&nbsp;line &lt;1&gt;</h1><p>First   para<br>with <b>bold</b> words.<p>Second para with many more plain words here.</p><div class="ad">Buy now</div><ul><li>Item</li></ul>
+<section class="comments"><p>I disagree a lot with this whole thing</p></section>{close}
+<aside>Side text</aside><form><input name=q>Search</form><footer>&copy; 2024 Foot</footer></body></html>"""
+BODY = "Head line <1>\nFirst para with bold words.\nSecond para with many more plain words here.\nItem"
+
+
+def test_html_text(spark):
+    pages = [PAGE.format(open="<article>", close="</article>"), PAGE.format(open="<div>", close="</div>"), None, "", "<p>", "<<<>>", "<article><p>Only &am this", "plain text"]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got[0] == BODY
+    assert got[1] in (BODY, BODY.removesuffix("\nItem"))  # without a marked article, one word behind two tags is no gain
+    assert got[2] == got[3] == got[4] == "" and got[6] == "Only &am this" and got[7] == "plain text"
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_region_is_the_maximum_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        weights = {("t", "p"): -1.0, ("w", "x"): 1.0, ("w", "y"): -0.7}
+        page = html.Page("")
+        page.tokens = [("w", rng.choice(["x", "y"]), "one two"[: 3 + 4 * int(rng.integers(2))], False, 0) if rng.random() < 0.6 else ("t", "p", "p", False, 0) for _ in range(30)]
+        value = [weights[k, key] * (len(t.split()) if k == "w" else 1) for k, key, t, _, _ in page.tokens]
+        a, b = page.region(weights)
+        best = max((sum(value[i:j]) for i in range(30) for j in range(i, 31)), default=0)
+        assert abs(sum(value[a:b]) - max(best, 0)) < 1e-9
+
+
+def test_lattice_decoding_is_nearest():
+    rng = np.random.default_rng(0)
+    assert len(lattice.minimal_vectors()) == 240 and len({tuple(v) for v in lattice.minimal_vectors()}) == 240
+    x = rng.normal(size=(300, 8)) * 2
+    near = lattice.decode(x)
+    doubled = np.rint(near * 2)
+    assert np.allclose(near * 2, doubled) and ((doubled % 2).std(axis=1) == 0).all() and (near.sum(axis=1) % 2 == 0).all()
+    others = near[:, None, :] + lattice.minimal_vectors()[None]
+    assert (((x - near) ** 2).sum(1)[:, None] <= ((x[:, None] - others) ** 2).sum(2) + 1e-9).all()
+
+
+def test_embedding_links_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 64))
+    rows = [base[i] / np.linalg.norm(base[i]) + rng.normal(size=64) * rng.choice([0.01, 0.03, 0.05]) for i in rng.integers(0, 60, 300)]
+    rows += [rows[0]] * 4
+    vecs = [r.astype(np.float32).tolist() for r in rows] + [None, [], [0.0] * 64, [float("nan")] * 64, [1.0] * 3, [None] * 64, [float("inf")] * 64]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<float>, label int").withColumn("id", F.lit(7))
+    x = np.array(vecs[:304], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = x @ x.T >= 0.9
+    np.fill_diagonal(g, False)
+    got = {r.vec_id: r for r in lattice.near_duplicates(df).collect()}
+    links = np.array([got[i].n_links for i in range(304)])
+    assert (links <= g.sum(1)).all() and links.sum() >= 0.98 * g.sum()
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(304, len(vecs)))
+    for i in range(304):
+        assert got[i].component_id <= i and got[i].kept == (got[i].component_id == i)
+    assert lattice.near_duplicates(df.where("false")).count() == 0
+
+
+def test_chat_links_orders_and_validates(spark):
+    schema = {"type": "object", "properties": {"city": {"type": "string"}, "days": {"type": "integer"}}, "required": ["city"], "additionalProperties": False}
+    call = lambda i, **a: json.dumps({"tool_calls": [{"id": i, "function": {"name": "weather", "arguments": json.dumps(a)}}]})
+    rows = [
+        (1, 0, "system", json.dumps({"tools": [{"name": "weather", "parameters": schema}]})), (1, 1, "user", "Ünï \"q\"\n"), (1, 3, "assistant", call("c1", city="Rome", days=2)),
+        (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": "sunny"})), (1, 4, "assistant", call("c2", days=True, x=1)), (1, 5, "tool", json.dumps({"tool_call_id": "zz", "content": "?"})),
+        (2, 0, None, None), (2, 1, "user", '{"tool": broken'), (None, 0, "user", "x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("step", F.lit("clash"))
+    got = chat.format_conversations(df).collect()
+    assert len(got) == len(rows)
+    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.at_turn, r.step, r.turn))
+    assert [r.turn for r in one] == [0, 1, 3, 2, 4, 5]
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert by[1, 3].n_answered == 1 and by[1, 3].n_invalid == 0 and by[1, 2].linked is True and by[1, 5].linked is False
+    assert by[1, 4].n_answered == 0 and by[1, 4].n_invalid == 1
+    assert json.loads(by[1, 4].message)["tool_calls"][0]["violations"] == ["$.city: missing", "$.x: not allowed", "$.days: not of type integer"]
+    assert by[1, 1].message == '{"content":"Ünï \\"q\\"\\n","role":"user"}' and by[2, 0].message == '{"content":"","role":""}'
+    assert all(canon == json.dumps(json.loads(canon), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for canon in (r.message for r in got))
+    assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_pipeline_stages_in_sequence(spark):
+    import corpus_pipeline
+
+    data = common.table(spark, SMALL, "documents").collect()
+    ids = {r.doc_id for r in data}
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r.doc_id for r in out} < ids and len(out) == len({r.doc_id for r in out}) and len(out) > len(ids) // 2
+    d = common.table(spark, SMALL, "documents")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "PII", "byte-level BPE"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, SMALL).columns == d.columns
+    kept = {r.doc_id for r in minhash.components(corpus_pipeline.language(spark, d, SMALL)).where("kept").collect()}
+    leaked = {r.doc_id for r in decontaminate.leaks(d, common.table(spark, SMALL, "benchmark")).collect()}
+    assert {r.doc_id for r in out} == kept - leaked
+    assert Counter(r.decoded_sha256 for r in out)
