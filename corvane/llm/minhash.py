@@ -4,10 +4,11 @@
    that set and a signature of 128 minima. Texts with equal sets form a class;
    only its smallest id goes on.
 2. 32 bands of 4 minima give bucket keys. Round one tests, for each class, the
-   smallest member of the bucket that it shares most often; round two tests
-   every pair of a bucket whose ends are not yet in one component. Buckets where
-   more than ``SPREAD`` members lie outside the largest component are cut up by a
-   second band, so a frequent passage doesn't make all its documents meet.
+   smallest member of the bucket that it shares most often; round two compares
+   every pair of a bucket whose ends are not yet in one component, in blocks inside
+   a task. Buckets where more than ``SPREAD`` members lie outside the largest
+   component are cut up by a second band, so a frequent passage doesn't make all
+   its documents meet.
 3. Pairs compare signatures batch by batch; a pair is pruned as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold
    is below ``MISS``. Survivors are compared on their full shingle sets, from their
@@ -38,7 +39,10 @@ WORDS, THRESHOLD = 5, 75
 BANDS, ROWS, BATCH = 32, 4, 16
 SIZE = BANDS * ROWS
 MISS = 1e-5
-SPREAD = 32
+#: Members outside a bucket's largest component above which a second band cuts the bucket up.
+SPREAD = 4096
+#: Rows of the two sides of a block.
+LEFT, RIGHT = 128, 256
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 _RNG = np.random.default_rng(20_011)
@@ -135,18 +139,67 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
+def _survive(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Places of the signature pairs that no batch pruned."""
+    live, same = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for n, need in least.items():
+        same[live] += (a[live, n - BATCH : n] == b[live, n - BATCH : n]).sum(axis=1)
+        live = live[same[live] >= need]
+    return live
+
+
 def _pruned(least: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _matrix(batch.column("sa")), _matrix(batch.column("sb"))
-            live, same = np.arange(len(a)), np.zeros(len(a), np.int64)
-            for n, need in least.items():
-                same[live] += (a[live, n - BATCH : n] == b[live, n - BATCH : n]).sum(axis=1)
-                live = live[same[live] >= need]
-            yield batch.select(["a", "b"]).take(pa.array(live))
+            yield batch.select(["a", "b"]).take(pa.array(_survive(_matrix(batch.column("sa")), _matrix(batch.column("sb")), least)))
     return run
 
 
+def _block(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving (a, b) of one block: its rows of side 0 against its rows of side 1 in other components."""
+    ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "comp", "side"))
+    top, sig = rows.column("top").to_numpy()[0], _matrix(rows.column("sig").combine_chunks())
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    meet = (comp[x][:, None] != comp[y][None, :]) & ((comp[y] == top)[None, :] | (ids[x][:, None] < ids[y][None, :]))
+    first = least[BATCH]
+    for at in range(0, len(x), 32):  # the first batch of minima, a few rows at a time
+        part = x[at : at + 32]
+        meet[at : at + 32] &= (sig[part][:, None, :BATCH] == sig[y][None, :, :BATCH]).sum(axis=2) >= first
+    i, j = np.nonzero(meet)
+    i, j = x[i], y[j]
+    live = _survive(sig[i], sig[j], least)
+    return np.maximum(ids[i], ids[j])[live], np.minimum(ids[i], ids[j])[live]
+
+
+def _blocks(least: dict[int, int]):
+    """Over rows sorted by (key, i, j): every block's surviving pairs; a block may reach over batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in _then_none(batches):
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            if batch is None:
+                if held:
+                    found.append(_block(pa.Table.from_batches(held), least))
+            elif batch.num_rows:
+                names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+                cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if last is not None and last != tuple(names[lo]) and held:
+                        found.append(_block(pa.Table.from_batches(held), least))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = tuple(names[lo])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return run
+
+
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, last = WordHashes(), (None, None)
     for batch in batches:
@@ -160,13 +213,9 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _links(likely: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The (a, b) pairs whose full shingle sets reach the threshold."""
-    spark = docs.sparkSession
-    sized = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    likely = written(sized.select("a", "b", "sa", "sb").mapInArrow(_pruned(least_matches(THRESHOLD / 100)), "a bigint, b bigint"), f"{name}-likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    ids = written(ids, f"{name}-ids")
+    ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     texts = written(texts, f"{name}-texts")
@@ -175,20 +224,27 @@ def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, name: str) -> Dat
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_exact, "a bigint, b bigint").distinct(), f"{name}-links")
 
 
-def _crossing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (key, id, comp) bucket rows: the keys with several components, and the rows outside each one's largest component."""
+def _crossing(rows: DataFrame) -> DataFrame:
+    """The (key, id, comp) rows of keys with several components, with the key's largest component and numbers of rows in and outside it."""
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
-    tops = tops.where(F.col("m") > F.col("top.n")).select("key", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.n")).alias("outside"))
-    return tops, rows.join(tops, "key")
+    tops = tops.where(F.col("m") > F.col("top.n")).select("key", F.col("top.comp").alias("top"), "m", (F.col("m") - F.col("top.n")).alias("outside"))
+    return rows.join(tops, "key")
+
 
+def _cross_likely(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Likely pairs across the components of each key.
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, from (key, id, comp, top)."""
-    outside = rows.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("xc"))
-    pairs = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("yc"), "top").join(outside, "key")
-    pairs = pairs.where("xc <> yc and (yc = top or x < y)")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    Rows outside a key's largest component meet all rows of the key in blocks of at
+    most about LEFT x RIGHT rows; pairs are compared inside a block and only survivors leave it.
+    """
+    lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("m") / RIGHT).cast("int")
+    i, j = F.pmod(F.xxhash64("id"), lefts).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")
+    rows = rows.join(sigs, "id")
+    left = rows.where("comp <> top").select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(0).alias("side"), "id", "comp", "top", "sig")
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "id", "comp", "top", "sig")
+    blocks = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return blocks.mapInArrow(_blocks(least_matches(THRESHOLD / 100)), "a bigint, b bigint").distinct()
 
 
 def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
@@ -207,23 +263,20 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     met = written(rows.join(shared, "key"), f"{name}-met")
     votes = met.where("id <> center").groupBy("id", "center").agg(F.count(F.lit(1)).alias("n"))
     first = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("center"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b"))
-    first = written(first, f"{name}-first")
-    links = _links(first, sigs, docs, name)
+    sized = first.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    likely = sized.select("a", "b", "sa", "sb").mapInArrow(_pruned(least_matches(THRESHOLD / 100)), "a bigint, b bigint")
+    links = _links(written(likely, f"{name}-likely"), docs, name)
     comp = written(roots(links, f"{name}-one"), f"{name}-comp")
     # Round two: whatever a bucket holds beyond one component.
     labelled = met.join(comp, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
-    labelled = written(labelled, f"{name}-labelled")
-    _, crossing = _crossing(labelled)
-    crossing = written(crossing, f"{name}-crossing")
-    near = _cross_pairs(crossing.where(F.col("outside") <= SPREAD))
+    crossing = written(_crossing(labelled), f"{name}-crossing")
     wide = crossing.where(F.col("outside") > SPREAD)
     cut = wide.select(F.col("key").alias("one"), "id", "comp").join(banded, "id").select("one", "id", "comp", F.explode("keys").alias("two")).where("one <> two")
     cut = cut.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "id", "comp").distinct()
-    _, again = _crossing(cut)
-    pairs = near.union(_cross_pairs(again)).distinct().join(first, ["a", "b"], "left_anti")
-    pairs = written(pairs, f"{name}-pairs")
+    both = crossing.where(F.col("outside") <= SPREAD).unionByName(_crossing(cut))
+    pairs = written(_cross_likely(both, sigs), f"{name}-cross")
     if not pairs.isEmpty():
-        more = _links(pairs, sigs, docs, f"{name}-two")
+        more = _links(pairs, docs, f"{name}-two")
         at = comp.select("id", "root")
         ends = more.join(at.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
         ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
