@@ -155,10 +155,22 @@ def _pruned(least: dict[int, int]):
     return run
 
 
-def _block(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving (a, b) of one block: its rows of side 0 against its rows of side 1 in other components."""
+def _reaches(sa: np.ndarray, sb: np.ndarray) -> bool:
+    """Whether two shingle sets reach the threshold."""
+    if 100 * min(len(sa), len(sb)) < THRESHOLD * max(len(sa), len(sb)):
+        return False
+    both = len(np.intersect1d(sa, sb, assume_unique=True))
+    return both > 0 and 100 * both >= THRESHOLD * (len(sa) + len(sb) - both)
+
+
+def _block(rows: pa.Table, least: dict[int, int], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of one block: its rows of side 0 against its rows of side 1 in other components.
+
+    A pair that shares several bands is compared in the first of them only (``band``; -1: in all).
+    """
     ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "comp", "side"))
-    top, sig = rows.column("top").to_numpy()[0], _matrix(rows.column("sig").combine_chunks())
+    top, band = rows.column("top")[0].as_py(), rows.column("band")[0].as_py()
+    sig = _matrix(rows.column("sig").combine_chunks())
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     meet = (comp[x][:, None] != comp[y][None, :]) & ((comp[y] == top)[None, :] | (ids[x][:, None] < ids[y][None, :]))
     first = least[BATCH]
@@ -168,25 +180,35 @@ def _block(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarra
     i, j = np.nonzero(meet)
     i, j = x[i], y[j]
     live = _survive(sig[i], sig[j], least)
-    return np.maximum(ids[i], ids[j])[live], np.minimum(ids[i], ids[j])[live]
+    i, j = i[live], j[live]
+    if band >= 0 and len(i):
+        shared = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(axis=2)
+        once = shared.argmax(axis=1) == band
+        i, j = i[once], j[once]
+    texts, sets = rows.column("text"), {}
+    for k in {*i.tolist(), *j.tolist()}:
+        sets[k] = shingles(texts[k].as_py(), known)
+    linked = np.array([_reaches(sets[a], sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    return np.maximum(ids[i], ids[j])[linked], np.minimum(ids[i], ids[j])[linked]
 
 
 def _blocks(least: dict[int, int]):
-    """Over rows sorted by (key, i, j): every block's surviving pairs; a block may reach over batches."""
+    """Over rows sorted by (key, i, j): every block's links; a block may reach over batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        known = WordHashes()
         last = None
         for batch in _then_none(batches):
             found: list[tuple[np.ndarray, np.ndarray]] = []
             if batch is None:
                 if held:
-                    found.append(_block(pa.Table.from_batches(held), least))
+                    found.append(_block(pa.Table.from_batches(held), least, known))
             elif batch.num_rows:
                 names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
                 cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     if last is not None and last != tuple(names[lo]) and held:
-                        found.append(_block(pa.Table.from_batches(held), least))
+                        found.append(_block(pa.Table.from_batches(held), least, known))
                         held = []
                     held.append(batch.slice(lo, hi - lo))
                     last = tuple(names[lo])
@@ -208,43 +230,50 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last[0] != b:
                 last = (b, shingles(tb, known))
             sa, sb = shingles(ta, known), last[1]
-            both = len(np.intersect1d(sa, sb, assume_unique=True))
-            keep.append(100 * both >= THRESHOLD * (len(sa) + len(sb) - both) and both > 0)
+            keep.append(_reaches(sa, sb))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(likely: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets reach the threshold."""
-    ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def _texts(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text) of the ids: broadcast to the documents up to a counted bound, joined by a shuffle beyond it."""
+    ids = written(ids, f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    texts = written(texts, f"{name}-texts")
+    return written(texts, f"{name}-texts")
+
+
+def _links(likely: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The (a, b) pairs whose full shingle sets reach the threshold."""
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, name)
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     full = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(one, "b")
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_exact, "a bigint, b bigint").distinct(), f"{name}-links")
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """The (key, id, comp) rows of keys with several components, with the key's largest component and numbers of rows in and outside it."""
+    """The (key, band, id, comp) rows of keys with several components, with the key's largest component and numbers of rows in and outside it."""
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
     tops = tops.where(F.col("m") > F.col("top.n")).select("key", F.col("top.comp").alias("top"), "m", (F.col("m") - F.col("top.n")).alias("outside"))
     return rows.join(tops, "key")
 
 
-def _cross_likely(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs across the components of each key.
+def _cross_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Links across the components of each key.
 
     Rows outside a key's largest component meet all rows of the key in blocks of at
-    most about LEFT x RIGHT rows; pairs are compared inside a block and only survivors leave it.
+    most about LEFT x RIGHT rows. Pairs are compared inside a block, by signature
+    batches and then by the full sets of its texts; only links leave it.
     """
+    texts = _texts(rows.select(F.col("id").alias("doc_id")).distinct(), docs, name).withColumnRenamed("doc_id", "id")
     lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("m") / RIGHT).cast("int")
     i, j = F.pmod(F.xxhash64("id"), lefts).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")
-    rows = rows.join(sigs, "id")
-    left = rows.where("comp <> top").select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(0).alias("side"), "id", "comp", "top", "sig")
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), "id", "comp", "top", "sig")
-    blocks = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return blocks.mapInArrow(_blocks(least_matches(THRESHOLD / 100)), "a bigint, b bigint").distinct()
+    rest = ["id", "comp", "top", "band"]
+    left = rows.where("comp <> top").select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(0).alias("side"), *rest)
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), *rest)
+    full = left.unionByName(right).join(sigs, "id").join(texts, "id")
+    blocks = full.select("key", "i", "j", "side", *rest, "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(blocks.mapInArrow(_blocks(least_matches(THRESHOLD / 100)), "a bigint, b bigint").distinct(), f"{name}-links")
 
 
 def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
@@ -258,7 +287,7 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     classes = written(classes, f"{name}-classes")
     sigs = classes.select("id", "sig")
     banded = written(sigs.mapInArrow(_banded, "id bigint, keys array<bigint>"), f"{name}-bands")
-    rows = banded.select("id", F.explode("keys").alias("key"))
+    rows = banded.select("id", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     met = written(rows.join(shared, "key"), f"{name}-met")
     votes = met.where("id <> center").groupBy("id", "center").agg(F.count(F.lit(1)).alias("n"))
@@ -268,15 +297,14 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     links = _links(written(likely, f"{name}-likely"), docs, name)
     comp = written(roots(links, f"{name}-one"), f"{name}-comp")
     # Round two: whatever a bucket holds beyond one component.
-    labelled = met.join(comp, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    labelled = met.join(comp, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     crossing = written(_crossing(labelled), f"{name}-crossing")
     wide = crossing.where(F.col("outside") > SPREAD)
     cut = wide.select(F.col("key").alias("one"), "id", "comp").join(banded, "id").select("one", "id", "comp", F.explode("keys").alias("two")).where("one <> two")
-    cut = cut.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), "id", "comp").distinct()
+    cut = cut.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), F.lit(-1).alias("band"), "id", "comp").distinct()
     both = crossing.where(F.col("outside") <= SPREAD).unionByName(_crossing(cut))
-    pairs = written(_cross_likely(both, sigs), f"{name}-cross")
-    if not pairs.isEmpty():
-        more = _links(pairs, docs, f"{name}-two")
+    more = _cross_links(both, sigs, docs, f"{name}-two")
+    if not more.isEmpty():
         at = comp.select("id", "root")
         ends = more.join(at.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
         ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
