@@ -30,9 +30,8 @@ def accumulators(routing: DataFrame, *keys: str) -> DataFrame:
 
 def full_grid(acc: DataFrame, experts: int) -> DataFrame:
     """The accumulators with a row of zeros for every (layer, bucket, expert) that was never routed."""
-    spark = acc.sparkSession
     cells = acc.select("layer").distinct().join(F.broadcast(acc.select("bucket").distinct())).select("layer", "bucket", F.explode(F.sequence(F.lit(0), F.lit(experts - 1))).alias("expert"))
-    return cells.join(acc, ["layer", "bucket", "expert"], "left").fillna(0) if spark else acc
+    return cells.join(acc, ["layer", "bucket", "expert"], "left").fillna(0)
 
 
 def coactivation(routing: DataFrame) -> DataFrame:
