@@ -197,7 +197,7 @@ def spans_text(spans="spans"):
 def _masked(batches):
     for part, texts in chunks(batches, "text", 8 << 20):
         out = []
-        for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(texts, part.column("__spans").to_pylist(), strict=True):
             if text is None or not spans:
                 out.append(text)
                 continue
@@ -207,15 +207,15 @@ def _masked(batches):
                     pieces += [text[at:s], f"[{KINDS[k].upper()}]"]
                 at = max(at, e)
             out.append("".join(pieces) + text[at:])
-        yield part.drop_columns(["spans", "text"]).append_column("text", pa.array(out, pa.string()))
+        yield part.drop_columns(["__spans", "text"]).append_column("text", pa.array(out, pa.string()))
 
 
 def masked(docs: DataFrame, alpha: float = ALPHA, texts: int = TEXTS, name: str = "pii") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; other columns stay."""
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key")
     spans = find(docs.withColumn("__key", key), ("doc_id", "__key"), alpha, texts, name).where("size(spans) > 0")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "spans").dropDuplicates(["__id", "__k"])
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__k"])
     joined = docs.withColumn("__key", key).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
     order = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {t}" for c, t in [*((c, t) for c, t in docs.dtypes if c != "text"), ("text", "string")])
-    return joined.select(*order, "text", "spans").mapInArrow(_masked, schema).select(*docs.columns)
+    return joined.select(*order, "text", "__spans").mapInArrow(_masked, schema).select(*docs.columns)

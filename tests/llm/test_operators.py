@@ -279,7 +279,8 @@ def test_disclosing_terms_by_brute_force(spark):
         assert "quixotic" in names and not names & {"ordinary", "words", "about", "with"}
         assert found[i].kinds == [1, 0, 0, 0] and found[i].base_sha256 == hashlib.sha256(",".join(f"email:{s}:{e}" for s, _, e in plain_spans(texts[i])).encode()).hexdigest()
     assert all(not found[i].spans for i in range(6, len(texts)))
-    out = {r.doc_id: r for r in pii.masked(docs(spark, texts)).collect()}
+    out = {r.doc_id: r for r in pii.masked(docs(spark, texts).withColumn("spans", F.lit("clash")).withColumn("row", F.lit(1))).collect()}
+    assert all(r.spans == "clash" and r.row == 1 for r in out.values())
     assert secret not in out[0].text and "[EMAIL]" in out[0].text and "quixotic" not in out[0].text
     assert [out[i].text for i in range(6, len(texts))] == texts[6:]
     copies = docs(spark, [texts[0]] * 10)  # one text and its copies are no statistics
