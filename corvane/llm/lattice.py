@@ -4,7 +4,10 @@ A table projects unit vectors by a random Gaussian matrix to eight dimensions an
 decodes the result to the nearest point of the E8 lattice, whose cell is the bucket.
 A vector looks into its own cell and into the ``PROBES`` neighbouring cells (of the
 240 at minimal distance) that its remainder points to, in each of ``TABLES`` tables.
-Pairs that met are compared by cosine in double precision.
+Of the pairs that met, those whose 64 signs of random projections differ in more
+than ``SIGNS`` places are no candidates (a pair at cosine 0.9 differs in 9.2 on
+average, with a deviation of 2.8, and in more than SIGNS with a probability below
+1e-6); the others are compared by cosine in double precision.
 
 Vectors with equal components form a class; only one of them is hashed, so copies
 cost nothing and are counted by their number.
@@ -27,6 +30,7 @@ from corvane.llm.common import connected, prepare, written
 
 THRESHOLD = 0.9
 TABLES, PROBES, SCALE, SEED = 24, 8, 1.2, 31
+SIGNS = 24
 
 
 def _even(x: np.ndarray) -> np.ndarray:
@@ -80,6 +84,12 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return own, near.reshape(n, -1)
 
 
+def signs(unit: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """64 signs of random projections of each vector as one integer."""
+    x = unit @ np.random.default_rng((seed, 64, unit.shape[1])).normal(size=(unit.shape[1], 64))
+    return np.packbits(x > 0, axis=1).view(np.int64).ravel()
+
+
 def _vectors(batches):
     for batch in batches:
         keys, vecs = [], []
@@ -104,9 +114,10 @@ def _celled(batches):
         for which in by_size.values():
             for at in range(0, len(which), 1000):
                 part = which[at : at + 1000]
-                own, near = cells(np.stack([np.frombuffer(raw[k], np.float64) for k in part]))
+                unit = np.stack([np.frombuffer(raw[k], np.float64) for k in part])
+                own, near = cells(unit)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (own, near)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in part], pa.int64()), *lists], names=["id", "own", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in part], pa.int64()), pa.array(signs(unit)), *lists], names=["id", "signs", "own", "near"])
 
 
 def _close(threshold: float):
@@ -126,12 +137,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, name: str
     live = known.where("vec_key is not null and vec_id is not null")
     classes = live.groupBy("vec_key").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("n"), F.first("vec").alias("vec"))
     classes = written(classes, f"{name}-classes")
-    celled = written(classes.select("id", "vec").mapInArrow(_celled, "id bigint, own array<bigint>, near array<bigint>"), f"{name}-cells")
-    own = celled.select(F.col("id").alias("x"), F.explode("own").alias("cell"))
-    near = celled.select(F.col("id").alias("y"), F.explode("near").alias("cell"))
-    here = own.select(F.col("x").alias("y"), "cell")
-    met = own.join(here, "cell").where("x > y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    beside = own.join(near, "cell").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    celled = written(classes.select("id", "vec").mapInArrow(_celled, "id bigint, signs bigint, own array<bigint>, near array<bigint>"), f"{name}-cells")
+    own = celled.select(F.col("id").alias("x"), F.col("signs").alias("sx"), F.explode("own").alias("cell"))
+    near = celled.select(F.col("id").alias("y"), F.col("signs").alias("sy"), F.explode("near").alias("cell"))
+    here = own.select(F.col("x").alias("y"), F.col("sx").alias("sy"), "cell")
+    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= SIGNS
+    met = own.join(here, "cell").where((F.col("x") > F.col("y")) & alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    beside = own.join(near, "cell").where((F.col("x") != F.col("y")) & alike).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     pairs = met.union(beside).distinct()
     vec = classes.select("id", "vec")
     both = pairs.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
