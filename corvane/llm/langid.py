@@ -3,8 +3,9 @@
 Each language has a probability for every piece of a fixed public vocabulary. A
 word (with one space before it) scores the sum over all of its segmentations
 into pieces, by the forward algorithm; a text is the product of its words. The
-probabilities are fitted by expectation-maximisation over the word counts of a
-bounded sample of labelled texts.
+probabilities are fitted by expectation-maximisation over all word counts of a
+bounded sample of labelled texts; the expected counts of a round are summed on
+the executors, and only pieces' sums reach the driver.
 
 Pieces are byte strings of at most seven bytes, so a piece is an exact 64-bit
 key and the forward pass runs over all distinct words of a run of texts at once.
@@ -17,7 +18,6 @@ first; an empty training table makes every prediction ``und``.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -26,16 +26,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, fold, shared_value, unit_hash
+from corvane.llm.common import chunks, fold, shared_value, unit_hash, written
 
 UNDETERMINED = "und"
 #: Bytes of the longest piece used.
 LONGEST = 7
 #: Words longer than this are scored step by step, with rescaling.
 LONG_WORD = 56
-#: Bounds of the training sample: texts a language, and (language, word) counts.
-TEXTS, WORDS = 1500, 150_000
+#: Bound of the training sample: texts a language.
+TEXTS = 1500
 ROUNDS = 4
+#: Expected counts are summed as whole multiples of 1 / UNIT, so that a sum doesn't depend on its order.
+UNIT = 1 << 24
 REMEMBERED = 600_000
 _LETTER = regex.compile(r"\p{L}")
 
@@ -139,35 +141,49 @@ class Lattice:
         return scale + np.log(np.maximum(recent[-1], 1e-300))
 
 
-def fit(lattice: Lattice, counts: dict[str, Counter], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, piece probabilities (a column each, a last row of zeros) and log priors of their texts' words."""
-    langs = sorted(counts)
-    p = np.zeros((lattice.size + 1, len(langs)))
-    for c, lang in enumerate(langs):
-        words = list(counts[lang])
-        number = np.fromiter(counts[lang].values(), np.float64, len(words))
-        data = [b" " + w.encode()[:LONG_WORD - 1] for w in words]
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        now = np.full((lattice.size + 1, 1), 1.0 / lattice.size)
-        now[-1] = 0
-        for _ in range(rounds):
-            got = np.zeros(lattice.size + 1)
-            for n in np.unique(lengths).tolist():
-                for which in np.array_split(w := np.flatnonzero(lengths == n), 1 + len(w) // 20_000):
+def _expecting(shared):
+    """Expected piece counts of a task's (lang, w, n) rows under the probabilities of the last round."""
+    def run(batches):
+        keys, langs, p = shared.value
+        lattice, place = _lattice(keys), {lang: c for c, lang in enumerate(langs)}
+        out = np.zeros((len(langs), lattice.size + 1))
+        for batch in batches:
+            known = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            data = [b" " + w.encode()[: LONG_WORD - 1] for w in batch.column("w").to_pylist()]
+            number = batch.column("n").to_numpy().astype(np.float64)
+            lengths = np.fromiter(map(len, data), np.int64, len(data))
+            for c in np.unique(known).tolist():
+                for n in np.unique(lengths[known == c]).tolist():
+                    which = np.flatnonzero((known == c) & (lengths == n))
                     block = np.frombuffer(b"".join(data[k] for k in which.tolist()), np.uint8).reshape(len(which), n)
-                    lattice.expected(block, number[which], now, got)
-            got[-1] = 0
-            got[:-1] += 0.1  # every piece keeps some probability in every language
-            now = (got / got.sum())[:, None]
-        p[:, c] = now[:, 0]
-    return langs, p, np.full(len(langs), -np.log(max(1, len(langs))))
-
-
-def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS, words: int = WORDS):
-    """Fit on at most about ``texts`` documents a language, chosen by a hash of text (bounded sample).
-
-    ``learn_where`` is a condition on ``docs`` (held-out rows excluded). The model
-    counts the ``words`` most frequent words at most.
+                    lattice.expected(block, number[which], p[:, c : c + 1], out[c])
+        out[:, -1] = 0
+        c, piece = np.nonzero(out)
+        units = np.rint(out[c, piece] * UNIT).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(piece, pa.int32()), pa.array(units, pa.int64())], names=["c", "piece", "units"])
+    return run
+
+
+def fit(counts: DataFrame, keys: np.ndarray, langs: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities (a column for each language, a last row of zeros) of a table of word counts (lang, w, n)."""
+    p = np.full((len(keys) + 1, len(langs)), 1.0 / len(keys))
+    p[-1] = 0
+    for _ in range(rounds if langs else 0):
+        shared = shared_value(counts.sparkSession, (keys, langs, p))
+        found = counts.mapInArrow(_expecting(shared), "c int, piece int, units bigint").groupBy("c", "piece").agg(F.sum("units").alias("units")).toArrow()
+        got = np.full(p.shape, 0.1)  # every piece keeps some probability in every language
+        got[found.column("piece").to_numpy(), found.column("c").to_numpy()] += found.column("units").to_numpy() / UNIT
+        got[-1] = 0
+        p = got / got.sum(axis=0)
+        shared.unpersist()
+    return p
+
+
+def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS):
+    """Fit on at most about ``texts`` documents a language, chosen by a hash of the id (bounded sample).
+
+    ``learn_where`` is a condition on ``docs`` (held-out rows excluded). All words of
+    the sample count.
     """
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -179,20 +195,26 @@ def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, texts / n))).otherwise(share)
     sample = usable.where(unit_hash("doc_id") < share)
     found = sample.select("lang", F.explode(F.split("text", r"[\s]+")).alias("w")).where("w <> ''")
-    found = found.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "w").limit(words)
-    counts: dict[str, Counter] = {}
-    for lang, word, n in zip(*(found.toArrow().column(c).to_pylist() for c in ("lang", "w", "n")), strict=True):
-        counts.setdefault(lang, Counter())[word] = n
+    counts = written(found.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "langid-words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     with open(ranks_path, "rb") as file:
         keys = vocabulary_keys(file.read())
-    lattice = Lattice(keys)
-    langs, p, prior = fit(lattice, counts)
-    return shared_value(spark, (keys, langs, p.astype(np.float64), prior))
+    p = fit(counts, keys, langs)
+    return shared_value(spark, (keys, langs, p, np.full(len(langs), -np.log(max(1, len(langs))))))
 
 
 _LATTICES: dict[int, Lattice] = {}
 
 
+def _lattice(keys: np.ndarray) -> Lattice:
+    """The lattice of a vocabulary, built once in a worker."""
+    mark = hash(keys.tobytes())
+    if mark not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[mark] = Lattice(keys)
+    return _LATTICES[mark]
+
+
 def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` (posterior of that language given equal priors).
 
@@ -204,10 +226,7 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: s
 
     def run(batches):
         keys, langs, p, prior = model.value
-        if id(keys) not in _LATTICES:
-            _LATTICES.clear()
-            _LATTICES[id(keys)] = Lattice(keys)
-        lattice = _LATTICES[id(keys)]
+        lattice = _lattice(keys)
         place: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
         for part, texts in chunks(batches, "__text"):

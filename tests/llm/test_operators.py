@@ -107,6 +107,17 @@ def test_language_ids(spark):
     assert {r.lang_pred for r in langid.predict(docs(spark, ["some text"]), none).collect()} == {"und"}
 
 
+def test_language_fit_counts_every_word_of_the_sample(spark):
+    rng = random.Random(5)
+    rare = ["zz" + "".join(rng.choices("qxj", k=6)) for _ in range(30)]  # each met once, behind 160,000 words met twice
+    common_words = " ".join(f"w{k} w{k}" for k in range(160_000))
+    d = docs(spark, [common_words]).unionByName(docs(spark, rare, lang="zu").withColumn("doc_id", F.col("doc_id") + 1))
+    keys, langs, p, _ = langid.learn(d, RANKS).value
+    assert langs == ["en", "zu"]
+    got = langid.predict(docs(spark, [" ".join(rare)]), langid.learn(d, RANKS)).first()
+    assert got.lang_pred == "zu"
+
+
 def test_pairwise_term_by_the_identity():
     rng = np.random.default_rng(1)
     m = fm.Machine({10: 0, 11: 1, 12: 2}, 0.3, rng.normal(size=3), rng.normal(size=(3, 4)))
