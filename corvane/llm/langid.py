@@ -7,8 +7,9 @@ probabilities are fitted by expectation-maximisation over all word counts of a
 bounded sample of labelled texts; the expected counts of a round are summed on
 the executors, and only pieces' sums reach the driver.
 
-Pieces are byte strings of at most seven bytes, so a piece is an exact 64-bit
-key and the forward pass runs over all distinct words of a run of texts at once.
+Pieces of any length are paths of a trie; a step in it is a look-up of an exact
+(node, byte) key, so the forward pass runs over all distinct words of a run of
+texts at once and follows only what the vocabulary holds.
 
 Defined cases: null text, or text without a letter -> ``und`` with score 0;
 null or unseen languages are not learned; ties go to the language that sorts
@@ -29,116 +30,164 @@ from pyspark.sql import functions as F
 from corvane.llm.common import chunks, fold, shared_value, unit_hash, written
 
 UNDETERMINED = "und"
-#: Bytes of the longest piece used.
-LONGEST = 7
-#: Words longer than this are scored step by step, with rescaling.
-LONG_WORD = 56
+#: Bytes of the longest piece that a vocabulary may have (a longer one is an error).
+LONGEST = 1 << 16
+#: Words longer than this are summed in logarithms, one by one, as products of so many small numbers underflow.
+LONG_WORD = 32
 #: Bound of the training sample: texts a language.
 TEXTS = 1500
 ROUNDS = 4
 #: Expected counts are summed as whole multiples of 1 / UNIT, so that a sum doesn't depend on its order.
 UNIT = 1 << 24
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _LETTER = regex.compile(r"\p{L}")
 
 
-def vocabulary_keys(content: bytes) -> np.ndarray:
-    """Sorted keys of a tiktoken-format vocabulary's pieces of up to LONGEST bytes (all single bytes included)."""
+def vocabulary_keys(content: bytes) -> list[int]:
+    """Sorted keys of a tiktoken-format vocabulary's pieces (all single bytes included): their bytes behind a 1."""
     tokens = {base64.b64decode(line.split()[0]) for line in content.splitlines() if line.strip()}
     tokens |= {bytes([b]) for b in range(256)}
-    return np.array(sorted(int.from_bytes(b"\1" + t, "big") for t in tokens if len(t) <= LONGEST), np.uint64)
+    if max(map(len, tokens)) > LONGEST:
+        raise ValueError(f"a piece of the vocabulary has more than {LONGEST} bytes")
+    return sorted(int.from_bytes(b"\1" + t, "big") for t in tokens if t)
 
 
 class Lattice:
     """All segmentations of words of equal length, position by position."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: list[int]):
+        self.size, nodes, edges = len(keys), {b"": 0}, {}
+        ends = []
+        for key in keys:
+            token = key.to_bytes((key.bit_length() + 7) // 8, "big")[1:]
+            at = 0
+            for n in range(1, len(token) + 1):
+                up, at = at, nodes.setdefault(token[:n], len(nodes))
+                edges[up << 8 | token[n - 1]] = at
+            ends.append(at)
+        #: Where no edge leads on, and the piece that ends at a node (``size`` if none).
+        self.nowhere = len(nodes)
+        self.piece = np.full(len(nodes) + 1, self.size, np.int32)
+        self.piece[ends] = np.arange(self.size)
+        keys, child = np.fromiter(edges, np.uint64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        del nodes, edges
+        order = np.argsort(keys)
+        keys, child = keys[order], child[order]
         self.bits = int(np.ceil(np.log2(len(keys) + 2))) + 4
         slot = self._slot(keys)
         order = np.argsort(slot, kind="stable")
         first = np.concatenate(([True], slot[order][1:] != slot[order][:-1]))
-        self.size = len(keys)
-        self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, self.size, np.int32)
-        self.key[slot[order[first]]], self.at[slot[order[first]]] = keys[order[first]], order[first]
+        self.key, self.at = np.full(1 << self.bits, ~np.uint64(0)), np.full(1 << self.bits, self.nowhere, np.int32)
+        self.key[slot[order[first]]], self.at[slot[order[first]]] = keys[order[first]], child[order[first]]
         rest = np.sort(order[~first])
-        self.more, self.more_at = keys[rest], rest.astype(np.int32)
+        self.more, self.more_at = keys[rest], child[rest]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def pieces(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, ``size`` (a row of zeros) where the vocabulary has none."""
+    def step(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The node behind each node and byte, ``nowhere`` where the vocabulary has none."""
+        keys = (nodes.astype(np.uint64) << np.uint64(8)) | data
         slot = self._slot(keys)
-        out = np.where(self.key[slot] == keys, self.at[slot], self.size)
+        out = np.where(self.key[slot] == keys, self.at[slot], self.nowhere)
         if len(self.more):
             place = np.minimum(np.searchsorted(self.more, keys), len(self.more) - 1)
             out = np.where(self.more[place] == keys, self.more_at[place], out)
         return out
 
-    def rows(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(start, end) -> piece rows, for words of one length as a matrix of bytes."""
-        n = words.shape[1]
-        wide, out = words.astype(np.uint64), {}
+    def rows(self, words: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(start, end) -> words and their pieces there, for words of one length as a matrix of bytes; by start."""
+        n, out = words.shape[1], {}
         for i in range(n):
-            key = np.ones(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                key = (key << np.uint64(8)) | wide[:, j - 1]
-                out[i, j] = self.pieces(key)
+            which, node = np.arange(len(words)), np.zeros(len(words), np.int32)
+            for j in range(i + 1, n + 1):
+                node = self.step(node, words[which, j - 1])
+                on = node != self.nowhere
+                which, node = which[on], node[on]
+                if not len(which):
+                    break
+                row = self.piece[node]
+                ends = row < self.size
+                if ends.any():
+                    out[i, j] = which[ends], row[ends]
         return out
 
-    def forward(self, words: np.ndarray, p: np.ndarray, rows: dict) -> list[np.ndarray]:
-        alpha = [np.ones((len(words), p.shape[1]))]
-        for j in range(1, words.shape[1] + 1):
-            total = np.zeros((len(words), p.shape[1]))
-            for i in range(max(0, j - LONGEST), j):
-                total += alpha[i] * p[rows[i, j]]
-            alpha.append(total)
+    def forward(self, words: np.ndarray, p: np.ndarray, rows: dict) -> np.ndarray:
+        alpha = np.zeros((words.shape[1] + 1, len(words), p.shape[1]))
+        alpha[0] = 1
+        for (i, j), (which, row) in rows.items():
+            alpha[j, which] += alpha[i, which] * p[row]
         return alpha
 
     def expected(self, words: np.ndarray, counts: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
         """Adds the expected piece counts of (word, count) pairs of one language (p has one column)."""
         rows, n = self.rows(words), words.shape[1]
         alpha = self.forward(words, p, rows)
-        beta = [np.ones((len(words), 1))] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum(p[rows[i, j]] * beta[j] for j in range(i + 1, min(n, i + LONGEST) + 1))
+        beta = np.zeros(alpha.shape)
+        beta[n] = 1
+        for (i, j), (which, row) in reversed(rows.items()):
+            beta[i, which] += p[row] * beta[j, which]
         weight = counts[:, None] / np.maximum(alpha[n], 1e-300)
-        for (i, j), row in rows.items():
-            np.add.at(out, row, (alpha[i] * p[row] * beta[j] * weight)[:, 0])
+        for (i, j), (which, row) in rows.items():
+            np.add.at(out, row, (alpha[i, which] * p[row] * beta[j, which] * weight[which])[:, 0])
+
+    def expected_long(self, word: bytes, count: float, logp: np.ndarray, out: np.ndarray) -> None:
+        """The same for one long word, with logarithms of the probabilities."""
+        start, end, row = self.spans(word)
+        alpha = self._sums(start, end, row, logp, len(word))
+        turned = np.argsort(-start, kind="stable")
+        beta = self._sums(len(word) - end[turned], len(word) - start[turned], row[turned], logp, len(word))[::-1]
+        np.add.at(out, row, count * np.exp(alpha[start] + logp[row] + beta[end] - alpha[-1])[:, 0])
 
     def log_scores(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         """Log of each word's sum over segmentations, a column for each language."""
         out = np.zeros((len(words), p.shape[1]))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        logp = None
         for n in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == n)
             if n > LONG_WORD:
+                logp = np.log(np.maximum(p, 1e-300)) if logp is None else logp
                 for k in which.tolist():
-                    out[k] = self._long(words[k], p)
+                    out[k] = self._sums(*self.spans(words[k]), logp, n)[-1]
                 continue
-            for part in np.array_split(which, 1 + len(which) // 20_000):
+            for part in np.array_split(which, 1 + len(which) // 4_000):
                 block = np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8).reshape(len(part), n)
                 out[part] = np.log(np.maximum(self.forward(block, p, self.rows(block))[n], 1e-300))
         return out
 
-    def _long(self, word: bytes, p: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(word, np.uint8).astype(np.uint64)
-        n, key, at = len(data), np.ones(len(data), np.uint64), []
-        for length in range(1, LONGEST + 1):  # pieces that start at each place
-            key = (key[: n - length + 1] << np.uint64(8)) | data[length - 1 :]
-            at.append(p[self.pieces(key)])
-            key = key[: n - length]
-            if length == n:
+    def spans(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces in a word, by end."""
+        data = np.frombuffer(word, np.uint8)
+        at, node, starts, ends, rows = np.arange(len(data)), np.zeros(len(data), np.int32), [], [], []
+        for length in range(1, len(data) + 1):
+            on = at + length <= len(data)
+            at, node = at[on], node[on]
+            node = self.step(node, data[at + length - 1])
+            on = node != self.nowhere
+            at, node = at[on], node[on]
+            if not len(at):
                 break
-        recent, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+            row = self.piece[node]
+            whole = row < self.size
+            starts.append(at[whole])
+            ends.append(at[whole] + length)
+            rows.append(row[whole])
+        start, end, row = map(np.concatenate, (starts, ends, rows))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], row[order]
+
+    @staticmethod
+    def _sums(start: np.ndarray, end: np.ndarray, row: np.ndarray, logp: np.ndarray, n: int) -> np.ndarray:
+        """Log of the sum over all segmentations of each beginning of a word of n bytes; spans come by end."""
+        out, value = np.zeros((n + 1, logp.shape[1])), logp[row]
+        bound = np.searchsorted(end, np.arange(1, n + 2)).tolist()
         for j in range(1, n + 1):
-            total = sum(recent[-length] * at[length - 1][j - length] for length in range(1, min(len(recent), LONGEST) + 1) if length <= j)
-            recent = [*recent[-LONGEST + 1 :], total]
-            if j % 8 == 0:
-                top = np.maximum(recent[-1], 1e-290)
-                scale += np.log(top)
-                recent = [x / top for x in recent]
-        return scale + np.log(np.maximum(recent[-1], 1e-300))
+            a, b = bound[j - 1], bound[j]
+            x = out[start[a:b]] + value[a:b]
+            top = x.max(axis=0)
+            out[j] = top + np.log(np.exp(x - top).sum(axis=0))
+        return out
 
 
 def _expecting(shared):
@@ -146,17 +195,22 @@ def _expecting(shared):
     def run(batches):
         keys, langs, p = shared.value
         lattice, place = _lattice(keys), {lang: c for c, lang in enumerate(langs)}
-        out = np.zeros((len(langs), lattice.size + 1))
+        out, logp = np.zeros((len(langs), lattice.size + 1)), np.log(np.maximum(p, 1e-300))
         for batch in batches:
             known = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            data = [b" " + w.encode()[: LONG_WORD - 1] for w in batch.column("w").to_pylist()]
+            data = [b" " + w.encode() for w in batch.column("w").to_pylist()]
             number = batch.column("n").to_numpy().astype(np.float64)
             lengths = np.fromiter(map(len, data), np.int64, len(data))
             for c in np.unique(known).tolist():
                 for n in np.unique(lengths[known == c]).tolist():
                     which = np.flatnonzero((known == c) & (lengths == n))
-                    block = np.frombuffer(b"".join(data[k] for k in which.tolist()), np.uint8).reshape(len(which), n)
-                    lattice.expected(block, number[which], p[:, c : c + 1], out[c])
+                    if n > LONG_WORD:
+                        for k in which.tolist():
+                            lattice.expected_long(data[k], number[k], logp[:, c : c + 1], out[c])
+                        continue
+                    for some in np.array_split(which, 1 + len(which) // 4_000):
+                        block = np.frombuffer(b"".join(data[k] for k in some.tolist()), np.uint8).reshape(len(some), n)
+                        lattice.expected(block, number[some], p[:, c : c + 1], out[c])
         out[:, -1] = 0
         c, piece = np.nonzero(out)
         units = np.rint(out[c, piece] * UNIT).astype(np.int64)
@@ -164,7 +218,7 @@ def _expecting(shared):
     return run
 
 
-def fit(counts: DataFrame, keys: np.ndarray, langs: list[str], rounds: int = ROUNDS) -> np.ndarray:
+def fit(counts: DataFrame, keys: list[int], langs: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (a column for each language, a last row of zeros) of a table of word counts (lang, w, n)."""
     p = np.full((len(keys) + 1, len(langs)), 1.0 / len(keys))
     p[-1] = 0
@@ -206,9 +260,9 @@ def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS
 _LATTICES: dict[int, Lattice] = {}
 
 
-def _lattice(keys: np.ndarray) -> Lattice:
+def _lattice(keys: list[int]) -> Lattice:
     """The lattice of a vocabulary, built once in a worker."""
-    mark = hash(keys.tobytes())
+    mark = hash(tuple(keys))
     if mark not in _LATTICES:
         _LATTICES.clear()
         _LATTICES[mark] = Lattice(keys)
@@ -229,7 +283,7 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: s
         lattice = _lattice(keys)
         place: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
-        for part, texts in chunks(batches, "__text"):
+        for part, texts in chunks(batches, "__text", 2 << 20):
             if len(place) > REMEMBERED:
                 place, scores = {}, np.zeros((0, len(langs)))
             words = [(t or "").split() for t in texts]

@@ -107,6 +107,28 @@ def test_language_ids(spark):
     assert {r.lang_pred for r in langid.predict(docs(spark, ["some text"]), none).collect()} == {"und"}
 
 
+def test_lattice_sums_long_pieces_and_fits_whole_words(spark):
+    with open(RANKS, "rb") as f:
+        content = f.read()
+    keys = langid.vocabulary_keys(content)
+    assert len(keys) == len({base64.b64decode(line.split()[0]) for line in content.splitlines()} | {bytes([b]) for b in range(256)})
+    la, word = langid.Lattice(keys), " international".encode()
+    p = np.zeros((len(keys) + 1, 1))
+    p[keys.index(int.from_bytes(b"\1" + word, "big"))] = 0.25  # a piece of 14 bytes and no other
+    assert np.allclose(la.log_scores([word], p), np.log(0.25))
+    rng = np.random.default_rng(1)
+    p = np.vstack((rng.random((len(keys), 1)) * 0.01, np.zeros((1, 1))))
+    a, b = np.zeros(len(p)), np.zeros(len(p))
+    word = " 国際連合の総会ab".encode()
+    la.expected(np.array([[*word]], np.uint8), np.array([3.0]), p, a)
+    la.expected_long(word, 3.0, np.log(np.maximum(p, 1e-300)), b)
+    assert np.allclose(a, b, rtol=1e-8) and b.any()
+    head, tails = "x" * 60, ("qqjj", "wwvv")  # what tells the two apart stands behind the 60th byte
+    d = docs(spark, [head + tails[0]] * 40).unionByName(docs(spark, [head + tails[1]] * 40, lang="fr").withColumn("doc_id", F.col("doc_id") + 40))
+    got = langid.predict(docs(spark, [head + t for t in tails]), langid.learn(d, RANKS)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "fr"] and min(r.score for r in got) > 0.9
+
+
 def test_language_fit_counts_every_word_of_the_sample(spark):
     rng = random.Random(5)
     rare = ["zz" + "".join(rng.choices("qxj", k=6)) for _ in range(30)]  # each met once, behind 160,000 words met twice
