@@ -1,18 +1,22 @@
 """Personal data: four kinds of spans by rule, and terms that disclose them by corpus statistics.
 
 Base spans are emails, IP addresses, card numbers and phone numbers. The method
-then protects what stands around them. For a protected value e (an entity) and a
-term t seen beside it, document counts over the whole corpus give
+then protects what discloses them. For a protected value e (an entity) and a term t
+of the same document, document counts over the whole corpus give
 
     PMI(e; t) = log2 p(e, t) / (p(e) p(t)),   IC(e) = -log2 p(e)
 
-and t discloses e if PMI(e; t) >= ALPHA * IC(e), that is p(e | t) >= p(e)^(1 - ALPHA),
-as long as they meet in ``TEXTS`` different texts (one text and its copies are no
-statistics). Disclosing terms near e are removed as spans of kind ``term``.
+and t discloses e if PMI(e; t) > ALPHA * IC(e), that is p(e | t) > p(e)^(1 - ALPHA).
+p(e | t) is smoothed by one more text with t in which e is as likely as anywhere, so
+few meetings say little, and a text counts as much as it and its copies. Disclosing
+terms are removed as spans of kind ``term``, at all their places in documents with e.
 
-Terms are letters only, four at least, within ``BESIDE`` characters of the entity
-on the same line, lower-cased. Document counts of terms are summed on the executors
-before they are shuffled, for terms that passed a fixed-size bitmap of candidates.
+Terms are letters only, four at least, lower-cased, from anywhere in the document;
+places inside base spans count but need no removal of their own. Document counts of
+terms are summed on the executors before they are shuffled, for terms that passed a
+fixed-size bitmap of candidates. As t in n of d documents can disclose e only if
+d * p(e)^(1 - ALPHA) < n, and e is in no fewer than n, (e, t) pairs beyond that are
+never formed.
 
 Defined cases: null text counts as empty; ids may be null or repeat (each row is
 one document); without entities no term is removed.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import chunks, prepare, shared_value, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, TEXTS, BESIDE = 0.9, 3, 60
+ALPHA = 0.9
 #: Bits of the bitmap that preselects terms (a fixed size; collisions cost only work).
 BITMAP = 1 << 20
 _TRACE = re.compile(r"[0-9@]")
@@ -89,40 +93,41 @@ def entity(text: str, kind: int, start: int, end: int) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
 
 
-def beside(text: str, spans: list[tuple[int, int, int]]) -> dict[tuple[str, str], list[tuple[int, int]]]:
-    """(entity, term) -> places of the term near the entity, outside all base spans."""
-    out: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-    for start, kind, end in spans:
-        left, right = max(text.rfind("\n", 0, start) + 1, start - BESIDE), end + BESIDE
-        line = text.find("\n", end, right)
-        right = line if line >= 0 else min(right, len(text))
-        name = entity(text, kind, start, end)
-        for m in _TERM.finditer(text, max(0, left - 40), min(len(text), right + 40)):  # whole words only
-            a, b = m.span()
-            if b > left and a < right and not any(a < e and b > s for s, _, e in spans):
-                out[name, m[0].lower()].append((a, b))
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Every term of a text -> its places outside all base spans (which are sorted)."""
+    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    k, end = 0, 0  # spans that start before the term's end, and the furthest end of those
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            end = max(end, spans[k][2])
+            k += 1
+        places = out[m[0].lower()]
+        if a >= end:
+            places.append((a, b))
     return out
 
 
-_FOUND = "row bigint, kinds array<bigint>, spans array<struct<s:int,k:int,e:int>>, base_sha256 string, same bigint, near array<struct<e:bigint,t:string,at:array<struct<s:int,e:int>>>>"
+_FOUND = "row bigint, kinds array<bigint>, spans array<struct<s:int,k:int,e:int>>, base_sha256 string, same bigint, entities array<bigint>, terms array<struct<t:string,at:array<struct<s:int,e:int>>>>"
 
 
 def _finder(keep: tuple[str, ...]):
     def run(batches):
-        near_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("at", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))
+        terms_type = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))
         span_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
         for part, texts in chunks(batches, "__text"):
-            counts, spans, digests, same, near = [], [], [], [], []
+            counts, spans, digests, same, held, terms = [], [], [], [], [], []
             for text in texts:
                 found = base_spans(text)
                 counts.append([sum(k == x for _, k, _ in found) for x in range(4)])
                 spans.append([{"s": s, "k": k, "e": e} for s, k, e in found])
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found).encode()).hexdigest())
                 same.append(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))) if found else 0)
-                near.append([{"e": int(np.int64(np.uint64(xxhash.xxh64_intdigest(e.encode())))), "t": t, "at": [{"s": a, "e": b} for a, b in at]} for (e, t), at in beside(text, found).items()] if found else [])
+                held.append(sorted({int(np.int64(np.uint64(xxhash.xxh64_intdigest(entity(text, k, s, e).encode())))) for s, k, e in found}))
+                terms.append([{"t": t, "at": [{"s": a, "e": b} for a, b in at]} for t, at in terms_of(text, found).items()] if found else [])
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), part.column("row"), pa.array(counts, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digests), pa.array(same, pa.int64()), pa.array(near, near_type)],
-                names=[*keep, "row", "kinds", "spans", "base_sha256", "same", "near"])
+                [*(part.column(c) for c in keep), part.column("row"), pa.array(counts, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digests), pa.array(same, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(terms, terms_type)],
+                names=[*keep, "row", "kinds", "spans", "base_sha256", "same", "entities", "terms"])
     return run
 
 
@@ -163,25 +168,33 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted({term_bit(t) for t in batch.column("t").to_pylist()}), pa.int32())], names=["bit"])
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, texts: int = TEXTS, name: str = "pii") -> DataFrame:
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, name: str = "pii") -> DataFrame:
     """``keep`` columns, ``kinds`` (counts of the four base kinds), ``base_sha256`` and ``spans`` (s, k, e), terms included."""
     spark = prepare(docs.sparkSession)
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("row"))
     types = dict(source.dtypes)
     found = written(source.mapInArrow(_finder(keep), "".join(f"`{c}` {types[c]}, " for c in keep) + _FOUND), f"{name}-found")
-    entities = found.where("size(spans) > 0").select("row", "same", F.explode("near").alias("x")).select("row", "same", "x.e", "x.t", "x.at")
-    pairs = entities.groupBy("e", "t", "same").agg(F.count(F.lit(1)).alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    pairs = written(pairs.where(F.col("texts") >= texts), f"{name}-pairs")
+    with_terms = found.where("size(spans) > 0").select("row", F.explode("terms").alias("x")).select("row", "x.t", "x.at")
     bits = np.zeros(BITMAP, np.uint8)
-    bits[[r["bit"] for r in pairs.select("t").distinct().mapInArrow(_bits, "bit int").distinct().collect()]] = 1
+    bits[[r["bit"] for r in with_terms.select("t").mapInArrow(_bits, "bit int").distinct().collect()]] = 1
     if not bits.any():
         return found.select(*keep, "kinds", "base_sha256", "spans")
     shared = shared_value(spark, np.packbits(bits).tobytes())
-    terms = docs.where("text is not null").select("text").mapInArrow(_counter(shared), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("docs"))
     number = F.lit(float(max(1, docs.count())))
-    held = entities.select("e", "row").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("held"))
-    told = pairs.join(terms, "t").join(held, "e").where(F.col("n") / F.greatest("docs", "n") >= F.pow(F.col("held") / number, F.lit(1 - alpha))).select("e", "t")
-    added = entities.join(told, ["e", "t"]).select("row", F.explode("at").alias("p")).select("row", F.struct(F.col("p.s").alias("s"), F.lit(4).alias("k"), F.col("p.e").alias("e")).alias("x"))
+    entities = found.where("size(spans) > 0").select("row", "same", F.explode("entities").alias("e"))
+    held = entities.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
+    least = F.pow(F.col("held") / number, F.lit(1 - alpha))  # p(e | t) of a disclosing term is above this
+    held = written(held.select("e", (F.col("held") / number).alias("p"), least.alias("least"), (F.col("held") / least).alias("below")), f"{name}-held")
+    below = held.agg(F.max("below")).first()[0]
+    terms = docs.where("text is not null").select("text").mapInArrow(_counter(shared), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("docs"))
+    rare = with_terms.select("row", "t").join(terms.where(F.col("docs") < below), "t")
+    met = written(entities.join(held, "e").join(rare, "row").where(F.col("docs") < F.col("below")).select("row", "same", "e", "t", "p", "least", "docs"), f"{name}-pairs")
+    pairs = met.groupBy("e", "t", "same").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("least").alias("least"), F.first("docs").alias("docs"))
+    pairs = pairs.groupBy("e", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.first("p").alias("p"), F.first("least").alias("least"), F.first("docs").alias("docs"))
+    one = F.col("n") / F.col("texts")  # documents of a text
+    told = pairs.where((F.col("n") + one * F.col("p")) / (F.greatest("docs", "n") + one) > F.col("least")).select("e", "t")
+    disclosing = met.select("row", "e", "t").join(told, ["e", "t"]).select("row", "t").distinct()
+    added = with_terms.join(disclosing, ["row", "t"]).select("row", F.explode("at").alias("p")).select("row", F.struct(F.col("p.s").alias("s"), F.lit(4).alias("k"), F.col("p.e").alias("e")).alias("x"))
     added = added.groupBy("row").agg(F.collect_set("x").alias("more"))
     out = found.join(added, "row", "left")
     spans = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
@@ -210,10 +223,10 @@ def _masked(batches):
         yield part.drop_columns(["__spans", "text"]).append_column("text", pa.array(out, pa.string()))
 
 
-def masked(docs: DataFrame, alpha: float = ALPHA, texts: int = TEXTS, name: str = "pii") -> DataFrame:
+def masked(docs: DataFrame, alpha: float = ALPHA, name: str = "pii") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; other columns stay."""
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key")
-    spans = find(docs.withColumn("__key", key), ("doc_id", "__key"), alpha, texts, name).where("size(spans) > 0")
+    spans = find(docs.withColumn("__key", key), ("doc_id", "__key"), alpha, name).where("size(spans) > 0")
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__k"])
     joined = docs.withColumn("__key", key).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
     order = [c for c in docs.columns if c != "text"]

@@ -320,6 +320,18 @@ def test_disclosing_terms_by_brute_force(spark):
     assert all({s.k for s in r.spans} == {0} for r in pii.find(copies).collect())
 
 
+def test_disclosing_terms_anywhere_in_the_document_and_of_rare_entities(spark):
+    far = "Quixotic signs\n" + "plain words stand here " * 8
+    texts = [f"{far}\n{k} zed@mail.example.com\n" + "plain words stand here " * 8 + "quixotic" for k in range(5)]
+    texts += [f"Zephyrine {k} writes from yan@mail.example.com" for k in range(2)]  # met in two texts only
+    texts += [f"note {k} with plain words stand here writes from signs" for k in range(300)]
+    found = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    for i, (term, times) in enumerate([("quixotic", 2)] * 5 + [("zephyrine", 1)] * 2):
+        names = [texts[i][s.s : s.e].lower() for s in found[i].spans if s.k == 4]
+        assert names == [term] * times
+    assert all(not found[i].spans for i in range(7, len(texts)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies &amp; more</div><!-- x -->
 {open}<h1>Head&nbsp;line &lt;1&gt;</h1><p>First   para<br>with <b>bold</b> words.<p>Second para with many more plain words here.</p><div class="ad">Buy now</div><ul><li>Item</li></ul>
