@@ -5,12 +5,12 @@ weights come from labelled pages, that is pages of a bounded sample that mark th
 article (``article`` or ``main``): a word's weight is the share of words in its
 context that stand in an article, a tag's is minus the share of its uses outside.
 Elements that are no main text (menus, forms, adverts, ...) score nothing. One
-pass finds the run of greatest sum. The region is then fitted to the article
-element that holds most of it, if there is one, and words of excluded elements
-inside it are left out.
+pass finds the run of greatest sum, and all of it is returned: every article it
+covers and the text between or around them. An article that the run enters is
+completed where the run ends inside it; words of excluded elements are left out.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end with
-their parent, stray end tags are ignored; comments, doctypes, scripts and styles
+their parent, excluded ones that no end tag follows hold nothing; stray end tags are ignored; comments, doctypes, scripts and styles
 are no text; ``br`` is white space inside its block; a page that repeats is
 extracted each time.
 """
@@ -31,12 +31,14 @@ from corvane.llm.common import chunks, prepare, shared_value, unit_hash
 PAGES, KEYS = 2000, 4000
 # Fixed values of the HTML standard: elements without end tags, of raw text, and of block layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg iframe object select option".split())
+RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 # Elements, roles and words of class names and ids that mark what is no main text.
 NEVER = frozenset("nav aside footer form dialog menu button label input head".split()) | RAW
+#: Not shown, or no text of the page: excluded up to their end tag, if there is one.
+EMBEDDED = frozenset("template noscript svg iframe object select option".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NO_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager tags skip".split()
@@ -70,6 +72,7 @@ class Page:
         self.tokens: list[tuple[str, str, str, bool, int]] = []
         stack: list[tuple[str, str, bool, int]] = []  # element, context, excluded, article
         seen_marks: dict[str, tuple[str, bool]] = {}
+        closes: dict[str, int] = {}
         article, at, end, add = 0, 0, len(source), self.tokens.append
         while at < end:
             m = _TOKEN.match(source, at)
@@ -89,7 +92,7 @@ class Page:
                 inside = stack[-1][3] if stack else 0
                 add(("t", "/" + tag, tag, stack[-1][2] if stack else False, inside))
                 continue
-            if tag in RAW:
+            if tag in RAW and not (m[3].endswith("/") and any(x[0] == "svg" for x in stack)):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = close.end() if close else end
                 add(("t", tag, tag, True, inside))
@@ -100,8 +103,11 @@ class Page:
             if tag in ("article", "main") and not inside and not excluded:
                 article += 1
                 inside = article
-            no = (no or tag in NEVER or (tag == "header" and not inside)) and tag not in ("html", "body", "article", "main")
-            if tag not in VOID and not m[3].endswith("/"):
+            no = (no or tag in NEVER or tag in EMBEDDED or (tag == "header" and not inside)) and tag not in ("html", "body", "article", "main")
+            if tag in EMBEDDED and 0 <= closes.get(tag, 0) < at:  # where its next end tag is, -1 if there is none
+                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                closes[tag] = close.start() if close else -1
+            if tag not in VOID and not m[3].endswith("/") and not (tag in EMBEDDED and closes[tag] < 0):
                 key = f"{tag}.{name}" if name or tag not in ("p", "b", "i", "a", "span", "em", "strong", "u") else context
                 stack.append((tag, key, excluded or no, inside))
             add(("t", tag, tag, excluded or no, inside))
@@ -130,12 +136,8 @@ class Page:
 
     def text(self, weights: dict[tuple[str, str], float]) -> str:
         a, b = self.region(weights)
-        inside = Counter()
-        for kind, _, text, excluded, article in self.tokens[a:b]:
-            if kind == "w" and not excluded:
-                inside[article] += len(text)
-        article = max(inside, key=lambda x: (inside[x], -x), default=0)
-        chosen = (t for t in self.tokens if t[4] == article) if article else iter(self.tokens[a:b])
+        entered = {t[4] for t in self.tokens[a:b] if t[0] == "w" and not t[3] and t[2].strip()} - {0}
+        chosen = (t for k, t in enumerate(self.tokens) if a <= k < b or t[4] in entered)
         blocks, now = [], []
         for kind, _, text, excluded, _ in chosen:
             if kind == "t":

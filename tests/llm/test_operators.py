@@ -350,6 +350,16 @@ def test_html_text(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_text_of_all_articles_of_the_run_and_behind_unclosed_elements(spark):
+    words = ["one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "fifteen sixteen seventeen eighteen"]
+    several = f"<body><article><p>{words[0]}</p></article><p>{words[1]}</p><article><p>{words[2]}</p></article></body>"
+    unclosed = [f"<article><p>{words[0]}</p>{x}<p>{words[1]}</p></article>" for x in ('<svg width="1"/>', "<datalist><option value=a><option value=b></datalist>", "<object data=x>", "<svg><title/><g/></svg>")]
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate([several, *unclosed])], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, {}).collect()}
+    assert got[0] == "\n".join(words)
+    assert [got[i] for i in range(1, 5)] == ["\n".join(words[:2])] * 4
+
+
 def test_region_is_the_maximum_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
