@@ -15,15 +15,19 @@ canonical JSON (sorted keys, no spaces, unescaped Unicode).
 
 Defined cases: null role or text count as empty; text that is no such JSON object is
 plain content; a repeated call id is answered by every result with that id, and a
-result stands behind the first call with it; calls without declared schema are valid;
+result stands behind the first call with it; calls without declared schema are valid, calls without an id are
+checked but answered by nothing;
 rows with null ids are serialised but linked with nothing; repeated rows stay.
 """
 
 from __future__ import annotations
 
 import json
+from decimal import Decimal
+from urllib.parse import unquote
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,26 +76,114 @@ def parse(text: str | None) -> tuple[list[dict], str | None, list[dict], object]
     return calls, str(answers) if answers else None, tools, value.get("content") or ""
 
 
-def violations(value, schema: dict, where: str = "$") -> list[str]:
-    """What in ``value`` breaks the schema: type, enum, required, properties, items, additionalProperties."""
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+#: Standard keywords that restrict a value and aren't checked here; a schema with one is reported.
+UNSUPPORTED = frozenset("$dynamicRef $recursiveRef unevaluatedProperties unevaluatedItems".split())
+# Keyword -> (Python types it applies to, whether a value keeps it, what is said otherwise).
+LIMITS = {
+    "minimum": ((int, float), lambda v, x: v >= x, "below minimum"), "maximum": ((int, float), lambda v, x: v <= x, "above maximum"),
+    "exclusiveMinimum": ((int, float), lambda v, x: v > x, "not above exclusiveMinimum"), "exclusiveMaximum": ((int, float), lambda v, x: v < x, "not below exclusiveMaximum"),
+    "multipleOf": ((int, float), lambda v, x: Decimal(repr(v)) % Decimal(repr(x)) == 0, "not multipleOf"),
+    "minLength": ((str,), lambda v, x: len(v) >= x, "shorter than minLength"), "maxLength": ((str,), lambda v, x: len(v) <= x, "longer than maxLength"),
+    "pattern": ((str,), lambda v, x: regex.search(x, v) is not None, "not of pattern"),
+    "minItems": ((list,), lambda v, x: len(v) >= x, "fewer than minItems"), "maxItems": ((list,), lambda v, x: len(v) <= x, "more than maxItems"),
+    "uniqueItems": ((list,), lambda v, x: not x or not any(_same(a, b) for k, a in enumerate(v) for b in v[:k]), "items not unique"),
+    "minProperties": ((dict,), lambda v, x: len(v) >= x, "fewer than minProperties"), "maxProperties": ((dict,), lambda v, x: len(v) <= x, "more than maxProperties"),
+}
+
+
+def violations(value, schema, where: str = "$", root=None, refs: frozenset = frozenset()) -> list[str]:
+    """What in ``value`` breaks the schema, by the standard keywords of JSON schema.
+
+    Keywords of UNSUPPORTED, references outside the schema or in a circle, and keywords with
+    arguments that make no sense are reported too. Other unknown keywords and ``format`` are
+    annotations.
+    """
+    if schema is False:
+        return [f"{where}: not allowed"]
     if not isinstance(schema, dict):
         return []
+    try:
+        return _violations(value, schema, where, schema if root is None else root, refs)
+    except (TypeError, ValueError, AttributeError, ArithmeticError, regex.error):
+        return [f"{where}: unsupported schema"]
+
+
+def _violations(value, schema: dict, where: str, root: dict, refs: frozenset) -> list[str]:
+    def here(part) -> list[str]:
+        return violations(value, part, where, root, refs)
+
+    def below(part, x, name: str) -> list[str]:
+        return violations(x, part, name, root)
+
     out, kinds = [], schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
     if kinds and not any(isinstance(value, TYPES.get(k, (object,))) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
         return [f"{where}: not of type {'|'.join(map(str, kinds))}"]
-    if "enum" in schema and value not in schema["enum"]:
+    out += [f"{where}: unsupported {k}" for k in sorted(UNSUPPORTED & set(schema))]
+    if "$ref" in schema:
+        ref, target = schema["$ref"], root
+        if ref in refs or not (ref == "#" or ref.startswith("#/")):
+            out.append(f"{where}: unsupported $ref")
+        else:
+            for part in ref.split("/")[1:]:
+                part = unquote(part).replace("~1", "/").replace("~0", "~")
+                target = target[int(part)] if isinstance(target, list) and part.isdigit() and int(part) < len(target) else target.get(part) if isinstance(target, dict) else None
+            out += [f"{where}: unsupported $ref"] if target is None else violations(value, target, where, root, refs | {ref})
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{where}: not in enum")
+    if "const" in schema and not _same(value, schema["const"]):
+        out.append(f"{where}: not const")
+    for k, (types, keeps, said) in LIMITS.items():
+        if k in schema and isinstance(value, types) and not isinstance(value, bool) and not keeps(value, schema[k]):
+            out.append(f"{where}: {said}")
+    for part in schema.get("allOf") or []:
+        out += here(part)
+    if "anyOf" in schema and all(map(here, schema["anyOf"])):
+        out.append(f"{where}: none of anyOf")
+    if "oneOf" in schema and sum(not here(part) for part in schema["oneOf"]) != 1:
+        out.append(f"{where}: not one of oneOf")
+    if "not" in schema and not here(schema["not"]):
+        out.append(f"{where}: as not forbids")
+    if "if" in schema:
+        out += here(schema.get("else" if here(schema["if"]) else "then", True))
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
+        known, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
         out += [f"{where}.{k}: missing" for k in schema.get("required") or [] if k not in value]
-        if schema.get("additionalProperties") is False:
-            out += [f"{where}.{k}: not allowed" for k in sorted(set(value) - set(known))]
-        for k in sorted(set(value) & set(known)):
-            out += violations(value[k], known[k], f"{where}.{k}")
-    if isinstance(value, list) and "items" in schema:
+        depends = {**(schema.get("dependencies") or {}), **(schema.get("dependentRequired") or {})}
+        for k in sorted(set(depends) & set(value)):
+            out += [f"{where}.{x}: missing" for x in depends[k] if x not in value] if isinstance(depends[k], list) else here(depends[k])
+        for k, part in sorted((schema.get("dependentSchemas") or {}).items()):
+            out += here(part) if k in value else []
+        for k in sorted(value, key=lambda k: (k in known, k)):
+            matched = [x for x in patterns if regex.search(x, k)]
+            if k not in known and not matched:
+                out += below(schema.get("additionalProperties", True), value[k], f"{where}.{k}")
+            for part in [*([known[k]] if k in known else []), *(patterns[x] for x in matched)]:
+                out += below(part, value[k], f"{where}.{k}")
+            if "propertyNames" in schema:
+                out += below(schema["propertyNames"], k, f"{where}.{k}")
+    if isinstance(value, list):
+        items = schema.get("items", True)
+        first = schema.get("prefixItems") or []
+        if isinstance(items, list):  # the older form of prefixItems
+            first, items = items, schema.get("additionalItems", True)
         for k, x in enumerate(value):
-            out += violations(x, schema["items"], f"{where}[{k}]")
+            out += below(first[k] if k < len(first) else items, x, f"{where}[{k}]")
+        if "contains" in schema:
+            n = sum(not below(schema["contains"], x, where) for x in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                out.append(f"{where}: not as contains says")
     return out
 
 
@@ -143,13 +235,14 @@ def format_conversations(turns: DataFrame, name: str = "chat") -> DataFrame:
     source = turns.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parsed = written(source.mapInArrow(_parsed, _PARSED), f"{name}-parsed")
     with_tools = parsed.where("size(calls) > 0 or answers is not null or size(tools) > 0")
-    calls = with_tools.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", F.col("c.id").alias("call"), F.col("c.name").alias("tool")).where("call <> ''")
+    every = with_tools.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", F.col("c.id").alias("call"), F.col("c.name").alias("tool"))
+    calls = every.where("call <> ''")
     results = with_tools.where("answers is not null").select("row", "conv_id", F.col("answers").alias("call"))
     first = calls.groupBy("conv_id", "call").agg(F.min("turn").alias("call_turn"))
     back = results.join(first, ["conv_id", "call"]).select("row", "call_turn")
     told = calls.join(results.select("conv_id", "call").distinct(), ["conv_id", "call"]).groupBy("row").agg(F.collect_set("call").alias("answered"))
     declared = with_tools.select("conv_id", F.explode("tools").alias("t")).select("conv_id", F.col("t.name").alias("tool"), F.col("t.schema").alias("schema")).groupBy("conv_id", "tool").agg(F.min("schema").alias("schema"))
-    rules = calls.select("row", "conv_id", "tool").distinct().join(declared, ["conv_id", "tool"]).groupBy("row").agg(F.collect_set(F.struct(F.col("tool").alias("name"), "schema")).alias("schemas"))
+    rules = every.select("row", "conv_id", "tool").distinct().join(declared, ["conv_id", "tool"]).groupBy("row").agg(F.collect_set(F.struct(F.col("tool").alias("name"), "schema")).alias("schemas"))
     extra = with_tools.select("row").join(back, "row", "left").join(told, "row", "left").join(rules, "row", "left")
     plain = parsed.where("not (size(calls) > 0 or answers is not null or size(tools) > 0)").select("conv_id", "turn", F.col("turn").alias("at_turn"), F.lit(0).alias("step"), "role", F.lit(0).cast("bigint").alias("n_calls"), F.lit(0).cast("bigint").alias("n_answered"), F.lit(None).cast("boolean").alias("linked"), "text", F.lit(None).cast("array<string>").alias("answered"), F.lit(None).cast("array<struct<name:string,schema:string>>").alias("schemas"))
     tooled = with_tools.join(extra, "row").select(

@@ -302,6 +302,25 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_calls_without_id_and_all_keywords_are_validated(spark):
+    tool = {"tools": [{"name": "f", "parameters": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 3}}}}]}
+    call = [{"tool_calls": [{"name": "f", "arguments": {"n": n}}]} for n in ("x", 1, 4)]
+    rows = [(1, k, "assistant", json.dumps(x)) for k, x in enumerate([tool, *call])]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("turn").collect()
+    assert [r.n_invalid for r in got] == [0, 1, 1, 0]
+    bad = [
+        (2, {"minimum": 3}), (4, {"maximum": 3}), (3, {"exclusiveMaximum": 3}), (5, {"multipleOf": 2}), ("a", {"minLength": 2}), ("abc", {"maxLength": 2}), ("a", {"pattern": "^b"}), (1, {"const": True}),
+        (1, {"anyOf": [{"type": "string"}, {"minimum": 2}]}), (1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}), (1, {"allOf": [{"minimum": 2}]}), (1, {"not": {"type": "integer"}}), ([1, 1], {"uniqueItems": True}),
+        ({"a": 1}, {"properties": {"a": {"$ref": "#/$defs/s"}}, "$defs": {"s": {"type": "string"}}}), ({"a": 1}, {"additionalProperties": {"type": "string"}}), ([1], {"minItems": 2}), (1, {"$ref": "http://x/y"}), (1, {"$ref": "#"}), ({}, {"unevaluatedProperties": False}),
+        ("a", {"pattern": "("}), (1, {"if": {"minimum": 0}, "then": {"minimum": 5}}), ({"a": 1}, {"dependentRequired": {"a": ["b"]}}),
+    ]
+    for value, schema in bad:
+        assert chat.violations(value, schema), schema
+    good = [(3, {"minimum": 3, "maximum": 3}), (1.0, {"const": 1}), ("ab", {"pattern": "b$"}), (1, {"oneOf": [{"type": "integer"}, {"type": "string"}]}), ({"x": {"x": {}}}, {"properties": {"x": {"$ref": "#"}}}), (True, {"maximum": 0})]
+    for value, schema in good:
+        assert not chat.violations(value, schema), schema
+
+
 def test_disclosing_terms_by_brute_force(spark):
     secret = "zed@mail.example.com"
     texts = [f"report {k} about quixotic of {secret} with ordinary words" for k in range(6)] + [f"note {k} with ordinary words about nothing" for k in range(300)] + ODD
