@@ -64,46 +64,70 @@ def boundary_rate(cands: DataFrame, k: int) -> DataFrame:
     return per.groupBy("layer").agg(F.avg((F.col("last") < k + k).cast("double")).alias("rate"))
 
 
-def refit(scores: DataFrame, mask: DataFrame, k: int, rate: float = 1e-2, steps: int = 60) -> DataFrame:
-    """(layer, baseline, final, accepted): a bias for each kept expert fitted to the teacher's mixture, one layer a group.
+def affected_scores(scores: DataFrame, mask: DataFrame, k: int) -> DataFrame:
+    """The valid rows of ``scores`` one of whose best ``k`` experts is pruned."""
+    gone = mask.where("pruned").groupBy("layer").agg(F.collect_set("expert").alias("gone"))
+    chosen = F.transform(F.slice(_ordered(), 1, k), lambda e: e["expert"])
+    return scores.where("valid").join(F.broadcast(gone), "layer").where(F.arrays_overlap(chosen, "gone")).drop("gone")
+
+
+def _mixed(score: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture of each row's best ``k``, and which these are."""
+    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    w = np.take_along_axis(score, top, 1)
+    w = w / (w.sum(1, keepdims=True) + 1e-20)
+    return (w * np.take_along_axis(value, top, 1)).sum(1), top
+
+
+def _kept(width: int, gone) -> np.ndarray:
+    return np.setdiff1d(np.arange(width), list(gone if gone is not None else []))
 
-    ``scores`` is a bounded sample. The fit is accepted only if the loss of the sample
-    falls; otherwise the teacher's router stays.
+
+def refit(scores: DataFrame, mask: DataFrame, k: int, rate: float = 1e-2, steps: int = 60, train: DataFrame | None = None) -> DataFrame:
+    """(layer, baseline, final, accepted, tried): a bias for each kept expert fitted to the teacher's mixture, one layer a group.
+
+    The fit runs on the affected rows of ``scores``, or those of them in ``train`` (layer,
+    token), a bounded sample; ``baseline`` and ``tried`` are the losses before it and of its
+    last bias over all valid rows of ``scores``, the population. It is accepted only if
+    that loss falls; otherwise, and where nothing is affected, the teacher's router stays
+    and ``final`` is the baseline.
     """
     prepare(scores.sparkSession)
     gone = mask.where("pruned").groupBy("layer").agg(F.collect_set("expert").alias("gone"))
-    flat = scores.where("valid").join(F.broadcast(gone), "layer", "left").select("layer", F.transform("experts", lambda e: e["x"]).alias("x"), F.transform("experts", lambda e: e["norm"]).alias("norm"), "gone")
+
+    def flat(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(gone), "layer", "left").select("layer", F.transform("experts", lambda e: e["x"]).alias("x"), F.transform("experts", lambda e: e["norm"]).alias("norm"), "gone")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         x, out = np.stack(pdf["x"]), np.stack(pdf["norm"])
-        s = 1 / (1 + np.exp(-x))
-        keep = np.setdiff1d(np.arange(x.shape[1]), list(pdf["gone"].iloc[0] if pdf["gone"].iloc[0] is not None else []))
-
-        def mixed(score: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            w = np.take_along_axis(score, top, 1)
-            w = w / (w.sum(1, keepdims=True) + 1e-20)
-            v = np.take_along_axis(value, top, 1)
-            return (w * v).sum(1), top
-
-        target, _ = mixed(s, out)
-        bias, first = np.zeros(len(keep)), None
-        best, least = bias, np.inf
-        m, u = np.zeros(len(keep)), np.zeros(len(keep))
+        keep = _kept(x.shape[1], pdf["gone"].iloc[0])
+        target, _ = _mixed(1 / (1 + np.exp(-x)), out, k)
+        bias, m, u = np.zeros(len(keep)), np.zeros(len(keep)), np.zeros(len(keep))
         for step in range(1, steps + 1):
             score = 1 / (1 + np.exp(-(x[:, keep] + bias)))
-            got, top = mixed(score, out[:, keep])
+            got, top = _mixed(score, out[:, keep], k)
             err = got - target
-            loss = float((err**2).mean())
-            first = loss if first is None else first
-            if loss < least:
-                best, least = bias.copy(), loss
             chosen = np.take_along_axis(score, top, 1)
             total = chosen.sum(1, keepdims=True) + 1e-20
             slope = 2 * err[:, None] / len(x) * (np.take_along_axis(out[:, keep], top, 1) - got[:, None]) / total * chosen * (1 - chosen)
             g = np.bincount(top.ravel(), weights=slope.ravel(), minlength=len(keep))
             m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
             bias = bias - rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-12)
-        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "baseline": [first], "final": [least], "accepted": [least < first]})
-
-    return flat.groupBy("layer").applyInPandas(solve, "layer int, baseline double, final double, accepted boolean")
+        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "bias": [bias.tolist()]})
+
+    def judge(batches):
+        for whole in batches:
+            for layer, pdf in whole.groupby("layer"):
+                x, out = np.stack(pdf["x"]), np.stack(pdf["norm"])
+                keep, bias = _kept(x.shape[1], pdf["gone"].iloc[0]), pdf["bias"].iloc[0]
+                target, _ = _mixed(1 / (1 + np.exp(-x)), out, k)
+                lost = [((_mixed(1 / (1 + np.exp(-(x[:, keep] + b))), out[:, keep], k)[0] - target) ** 2).sum() for b in (0.0, 0.0 if bias is None else np.asarray(bias))]
+                yield pd.DataFrame({"layer": [layer], "n": [len(x)], "before": [lost[0]], "after": [lost[1]]})
+
+    rows = affected_scores(scores, mask, k)
+    if train is not None:
+        rows = rows.join(F.broadcast(train), ["layer", "token"], "left_semi")
+    biases = flat(rows).groupBy("layer").applyInPandas(solve, "layer int, bias array<double>")
+    losses = flat(scores.where("valid")).join(F.broadcast(biases), "layer", "left").mapInPandas(judge, "layer int, n bigint, before double, after double")
+    losses = losses.groupBy("layer").agg((F.sum("before") / F.sum("n")).alias("baseline"), (F.sum("after") / F.sum("n")).alias("tried"))
+    return losses.select("layer", "baseline", F.least("baseline", "tried").alias("final"), (F.col("tried") < F.col("baseline")).alias("accepted"), "tried")

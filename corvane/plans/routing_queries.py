@@ -337,10 +337,10 @@ def refit_baseline_mse(spark, d):
 
 @query()
 def router_refit(spark, d):
-    """Gradient refit on a bounded sample of tokens a layer, accepted only where the loss falls."""
-    scores = T.gate_scores(spark, d)
-    sample = smallest_hash(scores.where("valid").select("layer", "token"), 512, "fit", ["layer"], "layer", "token")
-    return refit.refit(scores.join(F.broadcast(sample), ["layer", "token"], "left_semi"), mask(spark, d), K)
+    """Gradient refit on a bounded sample of affected tokens a layer, accepted only where the loss of all valid tokens falls."""
+    scores, pruned = T.gate_scores(spark, d), mask(spark, d)
+    sample = smallest_hash(refit.affected_scores(scores, pruned, K).select("layer", "token"), 512, "fit", ["layer"], "layer", "token")
+    return refit.refit(scores, pruned, K, train=sample)
 
 
 @query(f"WITH {GRID} SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY expert) - 1 AS new_expert FROM masks WHERE criterion = 'reap_1_1_1' AND rk > 8")

@@ -209,6 +209,21 @@ def test_keeping_all_experts_loses_nothing(spark):
     assert fitted.final <= fitted.baseline
 
 
+def test_refit_is_judged_on_the_population(spark):
+    # The affected token wants expert 0 weaker, which only it is trained on; 50 others match the teacher and get worse.
+    experts = lambda x: [(e, v, n) for e, (v, n) in enumerate(zip(x, (5.0, 1.0, 0.0), strict=True))]
+    rows = [(1, 0, 0, True, experts((0.0, -0.1, 2.0)))] + [(1, t, 0, True, experts((1.0, 0.9, -9.0))) for t in range(1, 51)]
+    scores = spark.createDataFrame(rows, "layer int, token bigint, bucket int, valid boolean, experts array<struct<expert:int,x:double,norm:double>>")
+    drop = spark.createDataFrame([(1, e, e == 2) for e in range(3)], "layer int, expert int, pruned boolean")
+    assert [r.token for r in refit.affected_scores(scores, drop, 2).collect()] == [0]
+    got = refit.refit(scores, drop, 2).first()
+    assert not got.accepted and got.tried > got.baseline and got.final == got.baseline
+    alone = refit.refit(scores.where("token = 0"), drop, 2).first()
+    assert alone.accepted and alone.final == alone.tried < alone.baseline
+    none = refit.refit(scores.where("token > 0"), drop, 2).first()  # nothing is affected
+    assert not none.accepted and none.baseline == none.final == none.tried == 0
+
+
 def test_stream_resumes_and_order_does_not_matter(spark, tmp_path):
     rows = spark.range(600).select(F.concat(F.lit("b"), F.col("id") % 3).alias("bucket"), (F.col("id") % 5).alias("expert"), (F.col("id") / 600).alias("gate"), (F.lit(1.0) + F.col("id") % 7).alias("norm"))
     paths = {k: str(tmp_path / k) for k in ("chunks", "state", "offsets")}
