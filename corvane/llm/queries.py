@@ -34,8 +34,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = (fold("doc_id", 5) == 0).alias("held_out")
-    model = fm.learn(docs, labels, "quality", fold("doc_id", 5) != 0, structure=True, name="quality")
-    return fm.score(docs.select("doc_id", held, "text"), model, structure=True, keep=("doc_id", "held_out"))
+    model = fm.learn(docs, labels, "quality", fold("doc_id", 5) != 0, structure=True, metadata=("n_chars",), name="quality")
+    return fm.score(docs.select("doc_id", held, "text", "n_chars"), model, structure=True, keep=("doc_id", "held_out"), metadata=("n_chars",))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,47 @@ def test_machine_learns_an_interaction():
     assert m.score({0, 1}) > 0.9 and m.score({0}) < 0.2 and m.score({1, 2}) < 0.2
 
 
+def test_learn_finds_an_interaction_without_marginal_effect(spark):
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = words(25, i) + ["insulter"] * a + ["grouping"] * b
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append((i, int(a == b)))
+    d = docs(spark, texts)
+    lab = spark.createDataFrame(labels, "doc_id bigint, y int")
+    model = fm.learn(d, lab, "y", common.fold("doc_id", 4) != 2, structure=False)
+    got = {r.doc_id: r.predicted for r in fm.score(d, model, False).collect()}
+    held = [i for i in range(1200) if __import__("zlib").crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([got[i] == labels[i][1] for i in held]) > 0.95
+
+
+def test_directions_are_those_of_the_pair_matrix():
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (x[:, 2] == x[:, 5]).astype(float)
+    rows = [np.flatnonzero(r) for r in x]
+    centred, weight = x - x.mean(axis=0), (y - y.mean()) / np.maximum(1, x.sum(axis=1))
+    g = centred.T @ (weight[:, None] * centred) - np.diag(x.T @ weight)
+    value, vector = np.linalg.eigh(g)
+    top = vector[:, np.abs(value).argmax()]
+    found, v = fm.directions(rows, y, rounds=40)
+    assert {2, 5} <= set(found.tolist())
+    assert abs(abs(v[:, 0] @ top[found]) / np.linalg.norm(v[:, 0]) / np.linalg.norm(top[found]) - 1) < 0.02
+
+
+def test_labelled_copies_of_an_id_are_learned_once_and_metadata_count(spark):
+    rows = [(i % 40, "same words here", None, "s", 10 + 1000 * (i % 2)) for i in range(400)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("y", F.lit("clash")).withColumn("__text", F.lit("clash"))
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, y int")
+    model = fm.learn(d, lab, "y", F.lit(True), True, metadata=("n_chars",))
+    got = fm.score(d, model, True, metadata=("n_chars",)).distinct().collect()
+    assert len(got) == 40 and all(r.predicted == r.doc_id % 2 for r in got)
+    assert fm.score(d.where("false"), model, True, metadata=("n_chars",)).count() == 0
+
+
 @pytest.mark.parametrize("structure", [False, True])
 def test_classifier_on_planted_words(spark, structure):
     rng = random.Random(4)
