@@ -1,25 +1,31 @@
 """Personal data: four kinds of spans by rule, and terms that disclose them by corpus statistics.
 
 Base spans are emails, IP addresses, card numbers and phone numbers. The method
-then protects what discloses them. For a protected value e (an entity) and a term t
-of the same document, document counts over the whole corpus give
+then protects what discloses them. Protected values e (entities) are whole values and the
+two parts of an email, its local part and its host. For an entity e and a term t of the
+same document, document counts over the whole corpus give
 
     PMI(e; t) = log2 p(e, t) / (p(e) p(t)),   IC(e) = -log2 p(e)
 
 and t discloses e if PMI(e; t) > ALPHA * IC(e), that is p(e | t) > p(e)^(1 - ALPHA).
-p(e | t) is smoothed by one more text with t in which e is as likely as anywhere, so
-few meetings say little, and a text counts as much as it and its copies. Disclosing
-terms are removed as spans of kind ``term``, at all their places in documents with e.
+p(e | t) is estimated from the other documents, as who reads a document without e has
+only these: the document at hand is left out, and half a document in which e is as likely
+as anywhere is added, (n - 1 + p(e)/2) / (docs - 1/2) for n of docs documents of t. So a
+term that e's document alone holds tells nothing, at any size of the corpus. A text
+counts as much as it and its copies. Disclosing terms are removed as spans of kind
+``term``, at all their places in documents with e.
 
 Terms are letters only, four at least, lower-cased, from anywhere in the document;
 places inside base spans count but need no removal of their own. Document counts of
 terms are summed on the executors before they are shuffled, for terms that passed a
 fixed-size bitmap of candidates. As t in n of d documents can disclose e only if
 d * p(e)^(1 - ALPHA) < n, and e is in no fewer than n, (e, t) pairs beyond that are
-never formed.
+never formed. Only rows that hold a span meet a shuffle.
 
-Defined cases: null text counts as empty; ids may be null or repeat (each row is
-one document); without entities no term is removed.
+Defined cases: null text counts as empty (``masked`` leaves it null); ids may be null or
+repeat (each row is one document); without entities no term is removed; an empty table
+gives an empty one; other columns may have any name but those that start with two
+underscores, and in ``find`` those of its results.
 """
 
 from __future__ import annotations
@@ -88,9 +94,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def entity(text: str, kind: int, start: int, end: int) -> str:
-    value = text[start:end]
-    return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The protected values of base spans: each value, and an email's parts."""
+    out = set()
+    for start, kind, end in spans:
+        value = text[start:end].lower()
+        out.add(f"{KINDS[kind]}:{value if kind < 2 else _digits(value)}")
+        if kind == 0:
+            local, _, host = value.partition("@")
+            out |= {f"local:{local}", f"host:{host}"}
+    return out
+
+
+def _hash(value: str) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")))))
 
 
 def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
@@ -108,7 +125,7 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tup
     return out
 
 
-_FOUND = "row bigint, kinds array<bigint>, spans array<struct<s:int,k:int,e:int>>, base_sha256 string, same bigint, entities array<bigint>, terms array<struct<t:string,at:array<struct<s:int,e:int>>>>"
+_FOUND = "__row bigint, kinds array<bigint>, spans array<struct<s:int,k:int,e:int>>, base_sha256 string, __same bigint, __entities array<bigint>, __terms array<struct<t:string,at:array<struct<s:int,e:int>>>>"
 
 
 def _finder(keep: tuple[str, ...]):
@@ -122,12 +139,12 @@ def _finder(keep: tuple[str, ...]):
                 counts.append([sum(k == x for _, k, _ in found) for x in range(4)])
                 spans.append([{"s": s, "k": k, "e": e} for s, k, e in found])
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found).encode()).hexdigest())
-                same.append(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))) if found else 0)
-                held.append(sorted({int(np.int64(np.uint64(xxhash.xxh64_intdigest(entity(text, k, s, e).encode())))) for s, k, e in found}))
+                same.append(_hash(text) if found else 0)
+                held.append(sorted(map(_hash, entities(text, found))))
                 terms.append([{"t": t, "at": [{"s": a, "e": b} for a, b in at]} for t, at in terms_of(text, found).items()] if found else [])
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), part.column("row"), pa.array(counts, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digests), pa.array(same, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(terms, terms_type)],
-                names=[*keep, "row", "kinds", "spans", "base_sha256", "same", "entities", "terms"])
+                [*(part.column(c) for c in (*keep, "__row")), pa.array(counts, pa.list_(pa.int64())), pa.array(spans, span_type), pa.array(digests, pa.string()), pa.array(same, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(terms, terms_type)],
+                names=[*keep, "__row", "kinds", "spans", "base_sha256", "__same", "__entities", "__terms"])
     return run
 
 
@@ -168,37 +185,56 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted({term_bit(t) for t in batch.column("t").to_pylist()}), pa.int32())], names=["bit"])
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, name: str = "pii") -> DataFrame:
-    """``keep`` columns, ``kinds`` (counts of the four base kinds), ``base_sha256`` and ``spans`` (s, k, e), terms included."""
-    spark = prepare(docs.sparkSession)
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("row"))
+def _based(docs: DataFrame, keep: tuple[str, ...], name: str) -> DataFrame:
+    """``keep`` columns, the base spans of every row, and what its terms' search needs, written."""
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     types = dict(source.dtypes)
-    found = written(source.mapInArrow(_finder(keep), "".join(f"`{c}` {types[c]}, " for c in keep) + _FOUND), f"{name}-found")
-    with_terms = found.where("size(spans) > 0").select("row", F.explode("terms").alias("x")).select("row", "x.t", "x.at")
+    return written(source.mapInArrow(_finder(keep), "".join(f"`{c}` {types[c]}, " for c in keep) + _FOUND), f"{name}-found")
+
+
+def _disclosing(found: DataFrame, docs: DataFrame, alpha: float, name: str) -> DataFrame | None:
+    """(__row, more): the term spans of rows that have any; None if no row holds an entity with a term."""
+    spark = docs.sparkSession
+    with_terms = found.where("size(spans) > 0").select("__row", F.explode("__terms").alias("x")).select("__row", "x.t", "x.at")
     bits = np.zeros(BITMAP, np.uint8)
     bits[[r["bit"] for r in with_terms.select("t").mapInArrow(_bits, "bit int").distinct().collect()]] = 1
     if not bits.any():
-        return found.select(*keep, "kinds", "base_sha256", "spans")
+        return None
     shared = shared_value(spark, np.packbits(bits).tobytes())
     number = F.lit(float(max(1, docs.count())))
-    entities = found.where("size(spans) > 0").select("row", "same", F.explode("entities").alias("e"))
-    held = entities.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
+    held_by = found.where("size(spans) > 0").select("__row", F.col("__same").alias("same"), F.explode("__entities").alias("e"))
+    held = held_by.groupBy("e").agg(F.count(F.lit(1)).alias("held"))
     least = F.pow(F.col("held") / number, F.lit(1 - alpha))  # p(e | t) of a disclosing term is above this
     held = written(held.select("e", (F.col("held") / number).alias("p"), least.alias("least"), (F.col("held") / least).alias("below")), f"{name}-held")
     below = held.agg(F.max("below")).first()[0]
     terms = docs.where("text is not null").select("text").mapInArrow(_counter(shared), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("docs"))
-    rare = with_terms.select("row", "t").join(terms.where(F.col("docs") < below), "t")
-    met = written(entities.join(held, "e").join(rare, "row").where(F.col("docs") < F.col("below")).select("row", "same", "e", "t", "p", "least", "docs"), f"{name}-pairs")
+    rare = with_terms.select("__row", "t").join(terms.where(F.col("docs") < below), "t")
+    met = written(held_by.join(held, "e").join(rare, "__row").where(F.col("docs") < F.col("below")).select("__row", "same", "e", "t", "p", "least", "docs"), f"{name}-pairs")
     pairs = met.groupBy("e", "t", "same").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("least").alias("least"), F.first("docs").alias("docs"))
     pairs = pairs.groupBy("e", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.first("p").alias("p"), F.first("least").alias("least"), F.first("docs").alias("docs"))
     one = F.col("n") / F.col("texts")  # documents of a text
-    told = pairs.where((F.col("n") + one * F.col("p")) / (F.greatest("docs", "n") + one) > F.col("least")).select("e", "t")
-    disclosing = met.select("row", "e", "t").join(told, ["e", "t"]).select("row", "t").distinct()
-    added = with_terms.join(disclosing, ["row", "t"]).select("row", F.explode("at").alias("p")).select("row", F.struct(F.col("p.s").alias("s"), F.lit(4).alias("k"), F.col("p.e").alias("e")).alias("x"))
-    added = added.groupBy("row").agg(F.collect_set("x").alias("more"))
-    out = found.join(added, "row", "left")
-    spans = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
-    return out.select(*keep, "kinds", "base_sha256", spans.alias("spans"))
+    told = pairs.where((F.col("n") - one * (1 - F.col("p") / 2)) / (F.greatest("docs", "n") - one / 2) > F.col("least")).select("e", "t")
+    disclosing = met.select("__row", "e", "t").join(told, ["e", "t"]).select("__row", "t").distinct()
+    places = with_terms.join(disclosing, ["__row", "t"]).select("__row", F.explode("at").alias("p"))
+    return places.groupBy("__row").agg(F.collect_set(F.struct(F.col("p.s").alias("s"), F.lit(4).alias("k"), F.col("p.e").alias("e"))).alias("__more"))
+
+
+def _all_spans(found: DataFrame, docs: DataFrame, alpha: float, name: str) -> DataFrame:
+    """``found`` with the term spans among ``spans``; rows without a span are not shuffled."""
+    added = _disclosing(found, docs, alpha, name)
+    if added is None:
+        return found
+    rest = [c for c in found.columns if c != "spans"]
+    spans = F.array_sort(F.concat("spans", F.coalesce("__more", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
+    some = found.where("size(spans) > 0").join(added, "__row", "left").select(*(F.col(f"`{c}`") for c in rest), spans.alias("spans"))
+    return found.where("size(spans) = 0").unionByName(some)
+
+
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, name: str = "pii") -> DataFrame:
+    """``keep`` columns, ``kinds`` (counts of the four base kinds), ``base_sha256`` and ``spans`` (s, k, e), terms included."""
+    prepare(docs.sparkSession)
+    out = _all_spans(_based(docs, keep, name), docs, alpha, name)
+    return out.select(*(F.col(f"`{c}`") for c in keep), "kinds", "base_sha256", "spans")
 
 
 def spans_text(spans="spans"):
@@ -224,11 +260,18 @@ def _masked(batches):
 
 
 def masked(docs: DataFrame, alpha: float = ALPHA, name: str = "pii") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; other columns stay."""
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key")
-    spans = find(docs.withColumn("__key", key), ("doc_id", "__key"), alpha, name).where("size(spans) > 0")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__k"])
-    joined = docs.withColumn("__key", key).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
-    order = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*((c, t) for c, t in docs.dtypes if c != "text"), ("text", "string")])
-    return joined.select(*order, "text", "__spans").mapInArrow(_masked, schema).select(*docs.columns)
+    """The documents with every span replaced by its kind in brackets; other columns stay.
+
+    The search writes each document beside its base spans, so that masking reads it there
+    and only documents with spans are joined with their terms.
+    """
+    prepare(docs.sparkSession)
+    own = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # names that clash with no result
+    source = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), F.col("text"))
+    found = _based(source, tuple(own.values()), name)
+    spans = _all_spans(found, source, alpha, name)
+    types = dict(docs.dtypes)
+    ready = spans.select(*(F.col(own[c]).alias(own[c]) for c in docs.columns if c != "text"), F.col(own["text"]).alias("text"), F.col("spans").alias("__spans"))
+    schema = ", ".join([*(f"{own[c]} {types[c]}" for c in docs.columns if c != "text"), "text string"])
+    out = ready.mapInArrow(_masked, schema)
+    return out.select(*(F.col("text" if c == "text" else own[c]).alias(c) for c in docs.columns))

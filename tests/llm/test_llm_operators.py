@@ -315,8 +315,45 @@ def test_tiles_are_longest_first_by_brute_force():
 
     for _ in range(60):
         item, text = rng.integers(1, 4, 20).astype(np.uint64), rng.integers(1, 4, 30).astype(np.uint64)
-        pairs = [(i, j) for i in range(26) for j in range(16) if (text[i : i + 5] == item[j : j + 5]).all()]
-        assert decontaminate.tiles(text, item, pairs)[:2] == greedy(text.tolist(), item.tolist(), 5)
+        assert decontaminate.tiles(text, item)[:2] == greedy(text.tolist(), item.tolist(), 5)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_leaks_against_brute_force(spark, monkeypatch, few):
+    """Items that share runs with each other, reordered and cut passages, repeated rows, and a bitmap full of collisions."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", few)
+    rng = random.Random(21)
+    parts = [words(rng.randint(4, 9), k, 60) for k in range(12)]
+    items = [sum(rng.sample(parts, rng.randint(1, 4)), []) for _ in range(25)] + [["solo"], ["two", "words"]]
+    texts = []
+    for _ in range(120):
+        text = words(rng.randint(0, 20), rng.random(), 60)
+        for p in rng.sample(parts, rng.randint(0, 4)):
+            at = rng.randint(0, len(text))
+            text[at:at] = p if rng.random() < 0.8 else p[: len(p) // 2] + ["cut"] + p[len(p) // 2 :]
+        texts.append(" ".join(text))
+    texts += texts[:10] + ["has two words", "solo", None, ""]
+    want = Counter()
+    for k, t in enumerate(texts):
+        mine = (t or "").split()
+        for i, item in enumerate(items):
+            size = min(5, len(item))
+            number = {w: n + 1 for n, w in enumerate(sorted({*mine, *item}))}
+            covered, count, _ = decontaminate.tiles(np.array([number[w] for w in mine], np.uint64), np.array([number[w] for w in item], np.uint64))
+            if covered >= 0.5 * len(item) and len(mine) >= size:
+                want[k, i, covered, count] += 1
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(None, "two words"), (90, None), (91, " ")], "item_id bigint, text string")
+    d = docs(spark, texts).withColumn("row", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = Counter((r.doc_id, r.item_id, r.n_covered, r.n_tiles) for r in decontaminate.leaks(d, bench).collect())
+    assert got == want and len(want) > 50
+    assert {r.doc_id for r in decontaminate.clean(d, bench).collect()} == set(range(len(texts))) - {x[0] for x in want}
+
+
+def test_running_hashes_are_of_the_words_alone():
+    w = np.array([5, 9, 5, 9, 5, 7, 2**63, 5, 9, 5], np.uint64)
+    for size in range(1, 4):
+        runs = decontaminate.Running(w).runs(size).tolist()
+        assert len(set(runs)) == len({tuple(w[k : k + size].tolist()) for k in range(len(w) - size + 1)}) and runs[0] == runs[7 if size < 4 else 0]
 
 
 PATTERNS = {
@@ -392,6 +429,52 @@ def test_disclosing_terms_anywhere_in_the_document_and_of_rare_entities(spark):
     assert all(not found[i].spans for i in range(7, len(texts)))
 
 
+def test_disclosing_terms_equal_counted_pmi(spark):
+    rng = random.Random(12)
+    people = [(f"name{k}", f"{'abcdefgh'[k]}@host{'xyz'[k % 3]}.example.org", "q" + "abcdefgh"[k] * 4) for k in range(8)]
+    texts = []
+    for _ in range(400):
+        text = words(rng.randint(3, 15), rng.random(), size=60)
+        for name, mail, alias in rng.sample(people, rng.choice([0, 0, 0, 1, 1, 2])):
+            text += [mail] * rng.randint(0, 1) + [alias] * (rng.random() < 0.8) + [alias.upper() + "!"] * (rng.random() < 0.2)
+        rng.shuffle(text)
+        texts.append(" ".join(text))
+    texts += rng.sample(texts, 60)
+    plain = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", t)} for t in texts]
+    held = [pii.entities(t, pii.base_spans(t)) for t in texts]
+    want, number = set(), len(texts)
+    for e in set().union(*held):
+        p = sum(e in h for h in held) / number
+        for t in set().union(*(x for x, h in zip(plain, held, strict=True) if e in h)):
+            both = [x for x, h, ws in zip(texts, held, plain, strict=True) if e in h and t in ws]
+            one = len(both) / len(set(both))
+            if (len(both) - one + one * p / 2) / (sum(t in ws for ws in plain) - one / 2) > p ** (1 - pii.ALPHA):
+                want |= {(x, t) for x in both}
+    got = set()
+    for r in pii.find(docs(spark, texts)).collect():
+        got |= {(texts[r.doc_id], texts[r.doc_id][s.s : s.e].lower()) for s in r.spans if s.k == 4}
+    def blanked(x):
+        for a, _, b in pii.base_spans(x):
+            x = x[:a] + " " * (b - a) + x[b:]
+        return x
+
+    inside = {(x, t) for x, t in want if not re.search(rf"(?<![^\W\d_]){t}(?![^\W\d_])", blanked(x), re.I)}
+    assert len(want) > 20 and got == want - inside
+
+
+def test_disclosing_terms_need_another_document(spark):
+    texts = [f"single{'abcdefgh'[k]} words of u{k}@mail{k}.example.org" for k in range(8)] + ["other words of nobody"] * 50
+    assert all({s.k for s in r.spans} <= {0} for r in pii.find(docs(spark, texts)).collect())
+
+
+def test_pii_on_empty_tables_and_clashing_columns(spark):
+    d = docs(spark, [*ODD, "a@b.example.org wrote"]).withColumn("row", F.lit(1)).withColumn("more", F.lit(2)).withColumn("kinds", F.lit("x"))
+    assert pii.find(d.where("false")).count() == 0 and pii.masked(d.where("false")).count() == 0
+    assert {r.row for r in pii.find(d, ("row", "more")).collect()} == {1}
+    out = pii.masked(d)
+    assert out.columns == d.columns and {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, (r.text or "").replace("a@b.example.org", "[EMAIL]") if r.text is not None else None) for r in d.collect()}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies &amp; more</div><!-- x -->
 {open}<h1>Head&nbsp;line &lt;1&gt;</h1><p>First   para<br>with <b>bold</b> words.<p>Second para with many more plain words here.</p><div class="ad">Buy now</div><ul><li>Item</li></ul>
@@ -523,6 +606,74 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def chat_plainly(rows):
+    """Places, answered calls and violated schemas of messages by walking each conversation."""
+    out = {}
+    parsed = [(k, c, t, *chat.parse(text)) for k, (c, t, _, text) in enumerate(rows)]
+    for k, conv, turn, calls, answers, _, _ in parsed:
+        def parent(i):
+            row = parsed[i]
+            found = [(r[2], r[0]) for r in parsed if r[1] == row[1] and row[4] is not None and any(c["id"] == row[4] for c in r[3])]
+            return min(found)[1] if found else None
+        at, path, seen = k, [], set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            path.append((parsed[at][2], len(path)))
+            at = parent(at)
+        invalid = 0
+        for c in calls:
+            known = [(r[2], r[0], p, x["schema"]) for r in parsed if r[1] == conv and r[2] <= turn for p, x in enumerate(r[5]) if x["name"] == c["name"]]
+            invalid += bool(known and chat.violations(c["arguments"], json.loads(max(known)[3])))
+        answered = sum(any(r[1] == conv and r[4] == c["id"] for r in parsed) for c in calls if c["id"])
+        out[conv, turn] = ((turn, 0) if at is not None else max(path), answered, invalid, None if answers is None else parent(k) is not None)
+    return out
+
+
+def random_calls(seed, conversations, length):
+    """Conversations of calls, results that may call again, circles, repeated ids and schemas that change."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(conversations):
+        n = rng.randint(1, length)
+        for turn in range(n):
+            message = {}
+            if rng.random() < 0.6:
+                message["tool_calls"] = [{"id": rng.choice(["", f"c{rng.randrange(n)}"]), "name": rng.choice("ab"), "arguments": {"x": rng.randint(0, 9)}} for _ in range(rng.randint(1, 2))]
+            if rng.random() < 0.6:
+                message["tool_call_id"] = f"c{rng.randrange(n)}"
+            if rng.random() < 0.3:
+                message["tools"] = [{"name": rng.choice("ab"), "parameters": {"properties": {"x": {"maximum": rng.randint(0, 9)}}}} for _ in range(rng.randint(1, 2))]
+            rows.append((conv, turn, "x", json.dumps(message) if message else "plain"))
+    return rows
+
+
+def test_chat_against_brute_force(spark):
+    rows = random_calls(5, 40, 9) + [(99, t, "tool", json.dumps({"tool_calls": [{"id": f"d{t}"}], **({"tool_call_id": f"d{t + 1}"} if t < 29 else {})})) for t in range(30)]
+    want = chat_plainly(rows)
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    got = chat.format_conversations(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ((r.at_turn, r.step), r.n_answered, r.n_invalid, r.linked) == want[r.conv_id, r.turn], (r.conv_id, r.turn)
+    chain = sorted((r for r in got if r.conv_id == 99), key=lambda r: (r.at_turn, r.step, r.turn))
+    assert [r.turn for r in chain] == list(range(29, -1, -1))  # each answers the next turn's call
+
+
+def test_chat_takes_odd_json(spark):
+    deep = '{"tool_call_id":"x","content":' + "[" * 100_000 + "]" * 100_000 + "}"
+    call = lambda schema: (json.dumps({"tools": [{"name": "f", "parameters": schema}]}), json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": 1.0}}]}))
+    odd = ['{"tool_call_id":"x","content":"\\ud83d"}', '{"tool_call_id":"\\ud83d","content":1}', deep, '{"tool_call_id":NaN}', '{"tool_call_id":"x","content":1e999}', '{"tool_calls":{"id":1}}', '{"tools":[1,{"name":2}]}', '{"tool_calls":[{"id":0,"name":[1],"arguments":"{"}]}', "tool" * 500_000]
+    rows = [(1, k, None, t) for k, t in enumerate(odd)] + [(1, 0, None, odd[0])] * 2 + [(None, None, None, odd[0])]
+    for k, schema in enumerate([{"required": 3}, {"properties": [1]}, {"type": 5}, {"enum": 5}, {"properties": {"x": {"type": "integer"}}}, {"enum": [{"x": True}]}]):
+        rows += [(10 + k, t, "a", text) for t, text in enumerate(call(schema))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat.format_conversations(df).collect()
+    assert len(got) == len(rows)
+    assert [next(r.n_invalid for r in got if r.conv_id == 10 + k and r.turn == 1) for k in range(6)] == [1, 1, 1, 1, 0, 1]
+    assert {r.message for r in got if r.conv_id == 1 and r.turn == 0} == {'{"content":"\\ud83d","role":"","tool_call_id":"x"}'}
+    assert json.loads(next(r.message for r in got if r.conv_id == 1 and r.turn == 2))["content"] == deep
+
+
 def test_pipeline_stages_in_sequence(spark):
     import corpus_pipeline
 
