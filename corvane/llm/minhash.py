@@ -7,15 +7,18 @@
    smallest member of the bucket that it shares most often; round two compares
    every pair of a bucket whose ends are not yet in one component, in blocks inside
    a task. Buckets where more than ``SPREAD`` members lie outside the largest
-   component are cut up by a second band, so a frequent passage doesn't make all
-   its documents meet.
+   component are dealt by a second key, so that a frequent passage doesn't make all
+   its documents meet: any other band, or any of 32 bands of the same minima grouped
+   anew. Where such a part is wide itself, its blocks are simply many.
 3. Pairs compare signatures batch by batch; a pair is pruned as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold
    is below ``MISS``. Survivors are compared on their full shingle sets, from their
-   whole texts.
+   whole texts. In round two only rows that have a survivor in their block fetch
+   their text, into blocks that are cut by bytes.
 
-A pair at the threshold shares no band with probability 5e-6 and, in a bucket that
-was cut up, only one band with probability 8e-5.
+A pair at the threshold shares no band with probability 4.4e-6, and one band alone and
+no second key with probability 1.5e-7, which is what dealing a wide bucket may add (both
+summed over the number of equal minima).
 
 Defined cases: null and empty texts and texts without words have no shingle and
 are linked with nothing; fewer than five words are one shingle; a null id is
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, connected, prepare, roots, written
@@ -39,16 +42,18 @@ WORDS, THRESHOLD = 5, 75
 BANDS, ROWS, BATCH = 32, 4, 16
 SIZE = BANDS * ROWS
 MISS = 1e-5
-#: Members outside a bucket's largest component above which a second band cuts the bucket up.
+#: Members outside a bucket's largest component above which a second key deals the bucket.
 SPREAD = 4096
-#: Rows of the two sides of a block.
-LEFT, RIGHT = 128, 256
+#: Rows of the two sides of a block of signatures, and bytes of text of a side of a block of texts.
+LEFT, RIGHT, BLOCK_BYTES = 128, 256, 16 << 20
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 _RNG = np.random.default_rng(20_011)
 _A = (_RNG.integers(1, 1 << 63, SIZE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: The order in which minima are grouped anew.
+_ANEW = _RNG.permutation(SIZE)
 
 
 class WordHashes(dict):
@@ -113,16 +118,25 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), SIZE)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    for batch in batches:
-        rows = _matrix(batch.column("sig")).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(salt, rows.shape[:2])
-        for k in range(ROWS):
-            key = mixed(key * _M + rows[:, :, k])
-        flat = pa.array(key.astype(np.int64).ravel())
-        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, flat)], names=["id", "keys"])
+def _bands(sig: np.ndarray, first: int = 0) -> np.ndarray:
+    """A key of each band of each signature; ``first`` numbers the bands."""
+    salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(first + 1)) * np.uint64(0xD6E8FEB86659FD93)
+    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(salt, rows.shape[:2])
+    for k in range(ROWS):
+        key = mixed(key * _M + rows[:, :, k])
+    return key.astype(np.int64)
+
+
+def _banded(anew: bool = False):
+    """(id, keys) of signatures: their bands, with ``anew`` also those of the minima grouped anew."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _matrix(batch.column("sig"))
+            keys = np.concatenate((_bands(sig), _bands(sig[:, _ANEW], BANDS)), axis=1) if anew else _bands(sig)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["id", "keys"])
+    return run
 
 
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
@@ -163,8 +177,8 @@ def _reaches(sa: np.ndarray, sb: np.ndarray) -> bool:
     return both > 0 and 100 * both >= THRESHOLD * (len(sa) + len(sb) - both)
 
 
-def _block(rows: pa.Table, least: dict[int, int], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of one block: its rows of side 0 against its rows of side 1 in other components.
+def _pairs(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the block's pairs that no batch pruned: rows of side 0 with rows of side 1 in other components.
 
     A pair that shares several bands is compared in the first of them only (``band``; -1: in all).
     """
@@ -185,35 +199,55 @@ def _block(rows: pa.Table, least: dict[int, int], known: WordHashes) -> tuple[np
         shared = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(axis=2)
         once = shared.argmax(axis=1) == band
         i, j = i[once], j[once]
-    texts, sets = rows.column("text"), {}
-    for k in {*i.tolist(), *j.tolist()}:
-        sets[k] = shingles(texts[k].as_py(), known)
-    linked = np.array([_reaches(sets[a], sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-    return np.maximum(ids[i], ids[j])[linked], np.minimum(ids[i], ids[j])[linked]
+    return i, j
+
+
+_LIVE = ("key", "i", "j", "side", "id", "comp", "top", "band")
+
 
+def _live(rows: pa.Table, least: dict[int, int], known: WordHashes) -> pa.Table:
+    """The block's rows that have a pair."""
+    i, j = _pairs(rows, least)
+    return rows.select(list(_LIVE)).take(pa.array(np.unique(np.concatenate((i, j)))))
+
+
+def _verified(rows: pa.Table, least: dict[int, int], known: WordHashes) -> pa.Table:
+    """The block's links (a, b), by the full sets of its texts; one set of each side is held besides those of side 0."""
+    ids = rows.column("id").to_numpy()
+    i, j = _pairs(rows, least)
+    order = np.argsort(j, kind="stable")
+    i, j = i[order], j[order]
+    texts, sets, last, linked = rows.column("text"), {}, (-1, None), np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if a not in sets:
+            sets[a] = shingles(texts[a].as_py(), known)
+        if last[0] != b:
+            last = b, shingles(texts[b].as_py(), known)
+        linked[k] = _reaches(sets[a], last[1])
+    return pa.table({"a": pa.array(np.maximum(ids[i], ids[j])[linked], pa.int64()), "b": pa.array(np.minimum(ids[i], ids[j])[linked], pa.int64())})
+
+
+def _blocks(of: tuple[str, ...], work):
+    """``work`` on each block of rows that come sorted by the columns ``of``; a block may reach over batches."""
+    least = least_matches(THRESHOLD / 100)
 
-def _blocks(least: dict[int, int]):
-    """Over rows sorted by (key, i, j): every block's links; a block may reach over batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         known = WordHashes()
         last = None
         for batch in _then_none(batches):
-            found: list[tuple[np.ndarray, np.ndarray]] = []
             if batch is None:
                 if held:
-                    found.append(_block(pa.Table.from_batches(held), least, known))
+                    yield from work(pa.Table.from_batches(held), least, known).to_batches()
             elif batch.num_rows:
-                names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+                names = np.stack([batch.column(c).to_numpy() for c in of], axis=1)
                 cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     if last is not None and last != tuple(names[lo]) and held:
-                        found.append(_block(pa.Table.from_batches(held), least, known))
+                        yield from work(pa.Table.from_batches(held), least, known).to_batches()
                         held = []
                     held.append(batch.slice(lo, hi - lo))
                     last = tuple(names[lo])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -258,22 +292,36 @@ def _crossing(rows: DataFrame) -> DataFrame:
     return rows.join(tops, "key")
 
 
+def _dealt(left: DataFrame, right: DataFrame, i: Column, j: Column, lefts: Column, rights: Column, names: tuple[str, str]) -> DataFrame:
+    """Rows of both sides in a grid of blocks: a left row in all blocks of its line, a right row in all of its column."""
+    a = left.withColumn(names[0], i).withColumn(names[1], F.explode(F.sequence(F.lit(0), rights - 1)))
+    b = right.withColumn(names[0], F.explode(F.sequence(F.lit(0), lefts - 1))).withColumn(names[1], j)
+    return a.unionByName(b)
+
+
+def _parts(count: Column, *salt: Column) -> Column:
+    return F.pmod(F.xxhash64("id", *salt), count).cast("int")
+
+
 def _cross_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Links across the components of each key.
 
     Rows outside a key's largest component meet all rows of the key in blocks of at
-    most about LEFT x RIGHT rows. Pairs are compared inside a block, by signature
-    batches and then by the full sets of its texts; only links leave it.
+    most about LEFT x RIGHT signatures. Rows with a surviving pair meet again with
+    their texts, in the same blocks cut by bytes; only links leave these.
     """
-    texts = _texts(rows.select(F.col("id").alias("doc_id")).distinct(), docs, name).withColumnRenamed("doc_id", "id")
     lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("m") / RIGHT).cast("int")
-    i, j = F.pmod(F.xxhash64("id"), lefts).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")
-    rest = ["id", "comp", "top", "band"]
-    left = rows.where("comp <> top").select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(0).alias("side"), *rest)
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"), *rest)
-    full = left.unionByName(right).join(sigs, "id").join(texts, "id")
-    blocks = full.select("key", "i", "j", "side", *rest, "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return written(blocks.mapInArrow(_blocks(least_matches(THRESHOLD / 100)), "a bigint, b bigint").distinct(), f"{name}-links")
+    sides = [rows.where("comp <> top").withColumn("side", F.lit(0)), rows.withColumn("side", F.lit(1))]
+    blocks = _dealt(*sides, _parts(lefts), _parts(rights, F.lit(1)), lefts, rights, ("i", "j")).select(*_LIVE).join(sigs, "id")
+    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    live = written(blocks.mapInArrow(_blocks(("key", "i", "j"), _live), "key bigint, i int, j int, side int, id bigint, comp bigint, top bigint, band int"), f"{name}-live")
+    texts = _texts(live.select(F.col("id").alias("doc_id")).distinct(), docs, name).withColumnRenamed("doc_id", "id")
+    sized = live.join(texts.select("id", F.octet_length("text").cast("bigint").alias("size")), "id")
+    count = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == k, F.col("size"))) / BLOCK_BYTES)).cast("int").alias(c) for k, c in enumerate(("lefts", "rights"))]
+    sized = live.join(sized.groupBy("key", "i", "j").agg(*count), ["key", "i", "j"])
+    full = _dealt(sized.where("side = 0"), sized.where("side = 1"), _parts(F.col("lefts"), F.lit(2)), _parts(F.col("rights"), F.lit(3)), F.col("lefts"), F.col("rights"), ("p", "q"))
+    full = full.select(*_LIVE, "p", "q").join(sigs, "id").join(texts, "id").repartition("key", "i", "j", "p", "q").sortWithinPartitions("key", "i", "j", "p", "q")
+    return written(full.mapInArrow(_blocks(("key", "i", "j", "p", "q"), _verified), "a bigint, b bigint").distinct(), f"{name}-links")
 
 
 def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
@@ -286,7 +334,7 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     classes = live.groupBy("set_key").agg(least).select("set_key", F.col("least.doc_id").alias("id"), F.col("least.sig").alias("sig"))
     classes = written(classes, f"{name}-classes")
     sigs = classes.select("id", "sig")
-    banded = written(sigs.mapInArrow(_banded, "id bigint, keys array<bigint>"), f"{name}-bands")
+    banded = written(sigs.mapInArrow(_banded(), "id bigint, keys array<bigint>"), f"{name}-bands")
     rows = banded.select("id", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     met = written(rows.join(shared, "key"), f"{name}-met")
@@ -300,7 +348,8 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     labelled = met.join(comp, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     crossing = written(_crossing(labelled), f"{name}-crossing")
     wide = crossing.where(F.col("outside") > SPREAD)
-    cut = wide.select(F.col("key").alias("one"), "id", "comp").join(banded, "id").select("one", "id", "comp", F.explode("keys").alias("two")).where("one <> two")
+    anew = sigs.join(wide.select("id").distinct(), "id").mapInArrow(_banded(anew=True), "id bigint, keys array<bigint>")
+    cut = wide.select(F.col("key").alias("one"), "id", "comp").join(anew, "id").select("one", "id", "comp", F.explode("keys").alias("two")).where("one <> two")
     cut = cut.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("key"), F.lit(-1).alias("band"), "id", "comp").distinct()
     both = crossing.where(F.col("outside") <= SPREAD).unionByName(_crossing(cut))
     more = _cross_links(both, sigs, docs, f"{name}-two")

@@ -261,6 +261,25 @@ def test_minhash_components_against_brute_force(spark, monkeypatch, spread):
     assert minhash.components(docs(spark, texts).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [16 << 20, 300])
+def test_wide_buckets_of_one_passage_lose_no_link(spark, monkeypatch, size):
+    """Documents that share most of a passage meet in wide buckets; blocks of texts are cut by bytes."""
+    for name, value in (("SPREAD", 2), ("LEFT", 3), ("RIGHT", 4), ("BLOCK_BYTES", size)):
+        monkeypatch.setattr(minhash, name, value)
+    shared, texts = words(40, 1), []
+    for k in range(40):
+        own = words(24, 100 + k // 2)
+        texts.append(" ".join(own + shared + words(k % 2 * 3, 500 + k)))
+    got = {r.doc_id: r.component_id for r in minhash.components(docs(spark, texts)).collect()}
+    known = minhash.WordHashes()
+    sets = [set(minhash.shingles(t, known).tolist()) for t in texts]
+    linked = [(a, b) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = list(range(40))
+    for a, b in linked * 40:
+        root[a] = root[b] = min(root[a], root[b])
+    assert len(linked) >= 20 and [got[k] for k in range(40)] == root
+
+
 def test_minhash_null_and_repeated_ids(spark):
     text = " ".join(words(30, 1))
     rows = [(None, text), (5, text), (5, text), (3, "other words that stand here alone"), (7, text)]
