@@ -207,20 +207,11 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def load(content: bytes, pattern: str) -> ByteBpe:
+    """A vocabulary file's tokenizer, built once in a worker for a content."""
     lines = (line.split() for line in content.splitlines() if line.strip())
     return ByteBpe({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
 
 
-_LOADED: dict[tuple[int, str], ByteBpe] = {}
-
-
-def _of(shared) -> ByteBpe:
-    key = (shared.id if hasattr(shared, "id") else id(shared), "")
-    if key not in _LOADED:
-        _LOADED[key] = load(*shared.value)
-    return _LOADED[key]
-
-
 def vocabulary(spark, ranks_path: str, pattern: str):
     """A broadcast of a vocabulary file (its size does not depend on the corpus)."""
     with open(ranks_path, "rb") as file:
@@ -242,7 +233,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     joiner = "," if head else ""
 
     def run(batches):
-        bpe, known = _of(shared), {}
+        bpe, known = load(*shared.value), {}
         for part, texts in chunks(batches, "__text"):
             ids = bpe.encode_texts(texts, known)
             decoded = [bpe.decode_bytes(x) for x in ids]
