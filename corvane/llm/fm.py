@@ -258,10 +258,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, structure:
     mean = (F.col("c") + 1.0) / F.lit(float(n + 2))
     z = F.abs(p1 - p0) / F.sqrt(mean * (1 - mean) * F.lit(1.0 / positive + 1.0 / (n - positive)))
     alone = found.where(z > float(np.sqrt(2 * np.log(BUCKETS)))).select("b").toArrow().column("b").to_pylist()
-    data = rows.orderBy(F.xxhash64("b"), "y").toArrow()
+    data = rows.toArrow()
     y, every = np.array(data.column("y").to_pylist()), data.column("b").combine_chunks()
     flat, cuts = every.values.to_numpy(), every.offsets.to_numpy()
     every = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    order = sorted(range(n), key=lambda k: (every[k].tobytes(), y[k]))  # the fit doesn't depend on how the sample is stored
+    every, y = [every[k] for k in order], y[order]
     together, vectors = directions(every, y)
     chosen = sorted({*alone, *together.tolist()})
     place = {b: k for k, b in enumerate(chosen)}
