@@ -31,12 +31,39 @@ def patches(grid: Column) -> Column:
     return F.aggregate(grid, F.lit(1).cast("bigint"), lambda a, x: a * x)
 
 
+def token_count(grids: Column, merge: int) -> Column:
+    """Tokens of a sample: patch rows over all of its clips, merge x merge of them a token."""
+    return F.floor(patch_rows(grids) / (merge * merge))
+
+
+def patch_rows(grids: Column) -> Column:
+    """Patch rows of a list of grids: the sum of their products."""
+    return F.aggregate(F.transform(grids, patches), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def resampled(wave: Column, rate: int, to: int) -> Column:
+    """A waveform at another rate: floor(size * to / rate) values interpolated between its ends."""
+    last = F.size(wave) - 1
+    n = F.floor(F.size(wave) * to / F.lit(float(rate))).cast("int")
+
+    def value(i: Column) -> Column:
+        at = i * last / F.greatest(n - 1, F.lit(1)).cast("double")
+        low = F.least(F.floor(at).cast("int"), last)
+        a, b = F.get(wave, low), F.get(wave, F.least(low + 1, last))
+        return a + (at - low) * (b - a)
+
+    return wave if rate == to else F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.slice(wave, 1, 0))
+
+
 def peak_normalised(wave: Column, rate: int, peak: float = 0.7, seconds: int = 30) -> Column:
-    """A waveform cut to ``seconds`` and scaled to ``peak``; null if shorter than a quarter of a second."""
-    cut = F.slice(wave, 1, rate * seconds)
-    top = F.array_max(F.transform(cut, F.abs))
-    scaled = F.transform(cut, lambda x: F.when(top > 0, x * (F.lit(peak) / top)).otherwise(x))
-    return F.when(F.size(cut) >= rate // 4, scaled)
+    """A waveform scaled so that its greatest value is ``peak`` and cut to ``seconds``; silence stays."""
+    top = F.array_max(F.transform(wave, F.abs))
+    return F.transform(F.slice(wave, 1, rate * seconds), lambda x: x / F.when(top > 0, top).otherwise(1.0) * peak)
+
+
+def prepared_audio(wave: Column, rate: int, to: int, seconds: int = 30) -> Column:
+    """What a model takes of a waveform: resampled, normalised, cut; null below a quarter of a second's values."""
+    return F.when(F.size(wave) >= to // 4, peak_normalised(resampled(wave, rate, to), to, seconds=seconds))
 
 
 def dequantised_fp4(packed: Column, scales: Column, block: int = 32) -> Column:
@@ -45,3 +72,21 @@ def dequantised_fp4(packed: Column, scales: Column, block: int = 32) -> Column:
     codes = F.flatten(F.transform(packed, lambda b: F.array(b.bitwiseAND(15), F.shiftright(b, 4).bitwiseAND(15))))
     sign = lambda c: F.when(c >= 8, F.lit(-1.0)).otherwise(F.lit(1.0))
     return F.transform(codes, lambda c, i: sign(c) * F.get(table, c % 8) * F.pow(F.lit(2.0), F.get(scales, F.floor(i / block).cast("int")) - 127))
+
+
+def decoded_fp8(code: Column) -> Column:
+    """The value of an 8-bit code of four exponent and three fraction bits; both codes of all ones are NaN."""
+    low, exponent = code.bitwiseAND(7), F.shiftright(code, 3).bitwiseAND(15)
+    size = F.when(exponent == 0, low / 8.0 * 2.0**-6).otherwise((low / 8.0 + 1) * F.pow(F.lit(2.0), exponent - 7))
+    return F.when(code.bitwiseAND(127) == 127, F.lit(float("nan"))).otherwise(F.when(code >= 128, -size).otherwise(size))
+
+
+def dequantised_fp8(codes: Column, scales: Column, width: int, block: int) -> Column:
+    """A matrix of 8-bit codes (row by row, ``width`` a row) times the scale of each block x block square."""
+    across = -(-width // block)
+
+    def value(code: Column, i: Column) -> Column:
+        square = F.floor(i / (width * block)) * across + F.floor(i % width / block)
+        return decoded_fp8(code) * F.get(scales, square.cast("int"))
+
+    return F.transform(codes, value)

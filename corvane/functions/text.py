@@ -52,3 +52,13 @@ def caption(values: Column, most: int = 2000) -> Column:
 def scene_key(key: Column) -> Column:
     """The folder part of a frame's key without leading dots and slashes."""
     return F.regexp_replace(F.regexp_extract(key, "^(.*)/[^/]*$", 1), r"^[./]+", "")
+
+
+def any_messages(*lists: Column) -> Column:
+    """The first of several message lists that renders to a text."""
+    return F.coalesce(*map(rendered, lists))
+
+
+def or_prompt(col: Column, prompt: str) -> Column:
+    """A default prompt where the text is null or empty."""
+    return F.coalesce(F.nullif(col, F.lit("")), F.lit(prompt))

@@ -57,3 +57,26 @@ def publish_rules(index: DataFrame, files: DataFrame, mask: DataFrame, experts:
     }
     parts = [t.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(k).alias("rule"), "violations") for k, t in tests.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def metadata_rules(state: DataFrame, files: DataFrame, required: list[str], expected: int | None = None) -> DataFrame:
+    """(rule, violations) over one row (stage, config as JSON) and the files present (name, bytes, spans).
+
+    ``spans`` is the size that a file's header describes, null where it has none.
+    """
+    block = "struct<experts_before:int>"
+    config = state.select("stage", F.from_json("config", f"_reap {block}, _ragged_experts boolean, n_routed_experts int").alias("c")).select("stage", "c.*")
+    names = files.select("name").distinct()
+    wanted = state.sparkSession.createDataFrame([(x,) for x in required], "name string")
+    tests = {
+        "stage_not_done": config.where("stage is null or stage <> 'done'"),
+        "no_prune_block": config.where("_reap is null"),
+        "ragged": config.where("_ragged_experts"),
+        "count_not_lower": config.where("_reap is not null and n_routed_experts >= _reap.experts_before"),
+        "unexpected_count": config.where(F.lit(False) if expected is None else F.col("n_routed_experts") != expected),
+        "required_files": wanted.join(names, "name", "left_anti"),
+        "partial_files": names.where(F.col("name").rlike("[.](tmp|incomplete|part)$")),
+        "truncated": files.where("spans is not null and bytes < spans"),
+    }
+    parts = [t.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(k).alias("rule"), "violations") for k, t in tests.items()]
+    return reduce(DataFrame.unionByName, parts)

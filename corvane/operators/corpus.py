@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,11 +109,80 @@ def chunked(rows: DataFrame, budget: int, lanes: int = 1) -> DataFrame:
 
 
 def interleaved(chunks: DataFrame) -> DataFrame:
-    """(bucket, chunk_no, at): chunks by their relative place in their bucket, then smaller buckets, then name."""
+    """(bucket, chunk_no, at): chunks by their relative place in their bucket, then smaller buckets, then name.
+
+    Chunks are dealt by ranges of that order and numbered within a range, behind the
+    count of those before it, so no task sees them all.
+    """
     size = F.count(F.lit(1)).over(W.partitionBy("bucket"))
     place = F.row_number().over(W.partitionBy("bucket").orderBy("chunk_no")) - 1
     keyed = chunks.select("bucket", "chunk_no", size.alias("size"), place.alias("place")).withColumn("key", F.col("place") / F.col("size"))
-    return keyed.withColumn("at", F.row_number().over(W.orderBy("key", "size", "bucket")) - 1).select("bucket", "chunk_no", "at")
+    order = ["key", "size", "bucket", "chunk_no"]
+    dealt = keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    within = dealt.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1)
+    return within.join(F.broadcast(before), "part").select("bucket", "chunk_no", (F.col("before") + F.col("within")).alias("at"))
+
+
+def media_totals(rows: DataFrame, media: tuple[str, ...], want: int) -> DataFrame:
+    """(bucket, tokens, media_tokens, share, refused): a media bucket that holds tokens but none from media is refused."""
+    total = rows.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("media"), F.col("n_tokens")).otherwise(0)).alias("media_tokens"))
+    return total.select("bucket", "tokens", "media_tokens", (F.col("tokens") / F.lit(want)).alias("share"), (F.col("bucket").isin(*media) & (F.col("tokens") > 0) & (F.col("media_tokens") == 0)).alias("refused"))
+
+
+def with_media(rows: DataFrame, media: tuple[str, ...], payload: str) -> DataFrame:
+    """Rows without those of media buckets that carry no payload: they are skipped, never taken as text."""
+    return rows.where(~F.col("bucket").isin(*media) | F.col(payload).isNotNull())
+
+
+def write_chunks(rows: DataFrame, path: str, media: tuple[str, ...] = ()) -> DataFrame:
+    """Writes (bucket, chunk_no, n_tokens, media, ...) as one folder a chunk and returns the manifest, written beside it.
+
+    Raises before anything is written if a media bucket holds no media, or if a corpus
+    stands at ``path``. The committer makes each folder appear whole or not at all.
+    """
+    spark = rows.sparkSession
+    bad = [r["bucket"] for r in media_totals(rows, media, 1).where("refused").collect()]
+    if bad:
+        raise ValueError(f"media buckets without media: {bad}")
+    rows.write.partitionBy("bucket", "chunk_no").mode("error").parquet(f"{path}/chunks")
+    manifest(spark.read.parquet(f"{path}/chunks")).coalesce(1).write.mode("error").json(f"{path}/manifest")
+    return read_manifest(spark, path)
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """(bucket, chunks, rows, tokens, media_tokens) of stored chunks."""
+    return chunks.groupBy("bucket").agg(F.countDistinct("chunk_no").alias("chunks"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("media"), F.col("n_tokens")).otherwise(0)).alias("media_tokens"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("bucket string, chunks bigint, rows bigint, tokens bigint, media_tokens bigint").json(f"{path}/manifest")
+
+
+def append_chunks(rows: DataFrame, path: str, media: tuple[str, ...] = ()) -> DataFrame:
+    """Adds chunks to a finished corpus and returns its new manifest.
+
+    Refused without a manifest, if the manifest and the stored chunks disagree, or if a
+    new chunk's number is already taken; chunk numbers go on from the stored ones.
+    """
+    spark = rows.sparkSession
+    old = spark.read.parquet(f"{path}/chunks")
+    named, found = (sorted(map(tuple, x.select("bucket", "chunks", "rows", "tokens").collect())) for x in (read_manifest(spark, path), manifest(old)))
+    if named != found:
+        raise ValueError("the manifest and the stored chunks disagree")
+    new = rows.select("bucket", "chunk_no").distinct()
+    taken = [tuple(r) for r in new.join(F.broadcast(old.select("bucket", F.col("chunk_no").cast("bigint").alias("chunk_no")).distinct()), ["bucket", "chunk_no"], "left_semi").collect()]
+    if taken:
+        raise ValueError(f"chunks that are already there: {taken}")
+    bad = [r["bucket"] for r in media_totals(rows, media, 1).where("refused").collect()]
+    if bad:
+        raise ValueError(f"media buckets without media: {bad}")
+    rows.write.partitionBy("bucket", "chunk_no").mode("append").parquet(f"{path}/chunks")
+    whole = spark.read.schema(old.schema).parquet(f"{path}/chunks")
+    rewritten = [tuple(r) for r in manifest(whole).collect()]  # a row a bucket
+    spark.createDataFrame(rewritten, "bucket string, chunks bigint, rows bigint, tokens bigint, media_tokens bigint").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return read_manifest(spark, path)
 
 
 def head_by_tokens(rows: DataFrame, stop: int, *keys: str) -> DataFrame:
@@ -129,10 +198,15 @@ def fill(rows: DataFrame, want: int) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens")).select("bucket", "tokens", ratio.alias("fill"), status.alias("status"))
 
 
-def clips(frames: DataFrame, per_clip: int) -> DataFrame:
-    """(stream, key, clip, first_seq, last_seq): runs of one key in a stream, cut every ``per_clip`` frames; short tails are dropped."""
+def clips(frames: DataFrame, per_clip: int, restart: Column | None = None) -> DataFrame:
+    """(stream, key, clip, first_seq, last_seq): runs of one key in a stream, cut every ``per_clip`` frames; short tails are dropped.
+
+    ``restart`` marks frames before which the reader broke off: what was gathered of a
+    clip by then is lost and a run starts anew.
+    """
     w = W.partitionBy("stream").orderBy("seq", "frame_id")
-    change = F.when(F.col("key") == F.lag("key").over(w), 0).otherwise(1)
+    same = F.col("key") == F.lag("key").over(w)
+    change = F.when(same if restart is None else same & ~restart, 0).otherwise(1)
     runs = frames.withColumn("change", change).withColumn("run", F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)))
     place = F.row_number().over(W.partitionBy("stream", "run").orderBy("seq", "frame_id")) - 1
     cut = runs.withColumn("clip", F.floor(place / per_clip)).groupBy("stream", "run", "clip").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))

@@ -57,11 +57,19 @@ def baseline(cands: DataFrame, k: int) -> DataFrame:
     return mixtures(cands, k).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("teacher") - F.col("student")) ** 2).alias("mse"))
 
 
-def boundary_rate(cands: DataFrame, k: int) -> DataFrame:
-    """(layer, rate): the share of the student's choices that are its last candidate."""
-    last = F.max("slot")
-    per = cands.where("valid and not teacher").groupBy("layer", "token").agg(last.alias("last"))
-    return per.groupBy("layer").agg(F.avg((F.col("last") < k + k).cast("double")).alias("rate"))
+def boundary_rate(scores: DataFrame, mask: DataFrame, k: int, kept: int, student) -> DataFrame:
+    """(layer, rate): the share of the student's choices that are the last of its ``kept`` candidates.
+
+    The candidates are the surviving experts that the teacher ranks best; the student
+    chooses ``k`` of them by ``student(expert, x)``. All inside one row, then one aggregate.
+    """
+    gone = mask.where("pruned").groupBy("layer").agg(F.collect_set("expert").alias("gone"))
+    left = F.filter("experts", lambda e: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), e["expert"]))
+    best = F.slice(F.array_sort(F.transform(left, lambda e: F.struct((-e["x"]).alias("r"), e["expert"].alias("expert"), e["x"].alias("x")))), 1, kept)
+    rows = scores.where("valid").join(F.broadcast(gone), "layer", "left").select("layer", best.alias("c"))
+    picked = F.slice(F.array_sort(F.transform("c", lambda e, i: F.struct((-student(e["expert"], e["x"])).alias("r"), i.alias("slot")))), 1, k)
+    hits = F.size(F.filter(picked, lambda p: p["slot"] == F.size("c") - 1))
+    return rows.groupBy("layer").agg((F.sum(hits) / F.sum(F.least(F.size("c"), F.lit(k)))).alias("rate"))
 
 
 def affected_scores(scores: DataFrame, mask: DataFrame, k: int) -> DataFrame:
@@ -84,11 +92,14 @@ def _kept(width: int, gone) -> np.ndarray:
 
 
 def refit(scores: DataFrame, mask: DataFrame, k: int, rate: float = 1e-2, steps: int = 60, train: DataFrame | None = None) -> DataFrame:
-    """(layer, baseline, final, accepted, tried): a bias for each kept expert fitted to the teacher's mixture, one layer a group.
+    """(layer, baseline, final, accepted, tried): the router weights of each kept expert fitted to the teacher's mixture, one layer a group.
+
+    ``scores`` also holds the layer's input as ``hidden`` (array<double>); an expert's x
+    changes by the product of its fitted weights with it. The bias is carried, not fitted.
 
     The fit runs on the affected rows of ``scores``, or those of them in ``train`` (layer,
     token), a bounded sample; ``baseline`` and ``tried`` are the losses before it and of its
-    last bias over all valid rows of ``scores``, the population. It is accepted only if
+    last weights over all valid rows of ``scores``, the population. It is accepted only if
     that loss falls; otherwise, and where nothing is affected, the teacher's router stays
     and ``final`` is the baseline.
     """
@@ -96,38 +107,41 @@ def refit(scores: DataFrame, mask: DataFrame, k: int, rate: float = 1e-2, steps:
     gone = mask.where("pruned").groupBy("layer").agg(F.collect_set("expert").alias("gone"))
 
     def flat(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(gone), "layer", "left").select("layer", F.transform("experts", lambda e: e["x"]).alias("x"), F.transform("experts", lambda e: e["norm"]).alias("norm"), "gone")
+        return rows.join(F.broadcast(gone), "layer", "left").select("layer", F.transform("experts", lambda e: e["x"]).alias("x"), F.transform("experts", lambda e: e["norm"]).alias("norm"), "hidden", "gone")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out = np.stack(pdf["x"]), np.stack(pdf["norm"])
+        x, out, hidden = np.stack(pdf["x"]), np.stack(pdf["norm"]), np.stack(pdf["hidden"])
         keep = _kept(x.shape[1], pdf["gone"].iloc[0])
         target, _ = _mixed(1 / (1 + np.exp(-x)), out, k)
-        bias, m, u = np.zeros(len(keep)), np.zeros(len(keep)), np.zeros(len(keep))
+        weights, m, u = (np.zeros((len(keep), hidden.shape[1])) for _ in range(3))
         for step in range(1, steps + 1):
-            score = 1 / (1 + np.exp(-(x[:, keep] + bias)))
+            score = 1 / (1 + np.exp(-(x[:, keep] + hidden @ weights.T)))
             got, top = _mixed(score, out[:, keep], k)
             err = got - target
             chosen = np.take_along_axis(score, top, 1)
             total = chosen.sum(1, keepdims=True) + 1e-20
             slope = 2 * err[:, None] / len(x) * (np.take_along_axis(out[:, keep], top, 1) - got[:, None]) / total * chosen * (1 - chosen)
-            g = np.bincount(top.ravel(), weights=slope.ravel(), minlength=len(keep))
+            each = np.zeros(score.shape)
+            np.put_along_axis(each, top, slope, 1)
+            g = each.T @ hidden
             m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
-            bias = bias - rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-12)
-        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "bias": [bias.tolist()]})
+            weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-12)
+        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "weights": [weights.ravel().tolist()]})
 
     def judge(batches):
         for whole in batches:
             for layer, pdf in whole.groupby("layer"):
-                x, out = np.stack(pdf["x"]), np.stack(pdf["norm"])
-                keep, bias = _kept(x.shape[1], pdf["gone"].iloc[0]), pdf["bias"].iloc[0]
+                x, out, hidden = np.stack(pdf["x"]), np.stack(pdf["norm"]), np.stack(pdf["hidden"])
+                keep, weights = _kept(x.shape[1], pdf["gone"].iloc[0]), pdf["weights"].iloc[0]
                 target, _ = _mixed(1 / (1 + np.exp(-x)), out, k)
-                lost = [((_mixed(1 / (1 + np.exp(-(x[:, keep] + b))), out[:, keep], k)[0] - target) ** 2).sum() for b in (0.0, 0.0 if bias is None else np.asarray(bias))]
+                change = 0.0 if weights is None else hidden @ np.reshape(weights, (len(keep), -1)).T
+                lost = [((_mixed(1 / (1 + np.exp(-(x[:, keep] + b))), out[:, keep], k)[0] - target) ** 2).sum() for b in (0.0, change)]
                 yield pd.DataFrame({"layer": [layer], "n": [len(x)], "before": [lost[0]], "after": [lost[1]]})
 
     rows = affected_scores(scores, mask, k)
     if train is not None:
         rows = rows.join(F.broadcast(train), ["layer", "token"], "left_semi")
-    biases = flat(rows).groupBy("layer").applyInPandas(solve, "layer int, bias array<double>")
-    losses = flat(scores.where("valid")).join(F.broadcast(biases), "layer", "left").mapInPandas(judge, "layer int, n bigint, before double, after double")
+    fitted = flat(rows).groupBy("layer").applyInPandas(solve, "layer int, weights array<double>")
+    losses = flat(scores.where("valid")).join(F.broadcast(fitted), "layer", "left").mapInPandas(judge, "layer int, n bigint, before double, after double")
     losses = losses.groupBy("layer").agg((F.sum("before") / F.sum("n")).alias("baseline"), (F.sum("after") / F.sum("n")).alias("tried"))
     return losses.select("layer", "baseline", F.least("baseline", "tried").alias("final"), (F.col("tried") < F.col("baseline")).alias("accepted"), "tried")

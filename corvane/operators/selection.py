@@ -31,21 +31,32 @@ def scores(grid: DataFrame, criterion: str, weight: Column | None = None) -> Dat
     return grid.groupBy("layer", "expert").agg(score.cast("double").alias("score"))
 
 
-def first_order(score: DataFrame, n: int, protected: DataFrame | None = None) -> DataFrame:
+def all_scores(grid: DataFrame, criteria: tuple[str, ...] = tuple(CRITERIA)) -> DataFrame:
+    """(criterion, layer, expert, score) of several criteria from one aggregate."""
+    terms = []
+    for c in criteria:
+        num, mean = FAMILY[c]
+        terms.append((F.sum(num) / F.greatest(F.sum("cnt"), F.lit(1)) if mean else F.sum(num)).cast("double").alias(c))
+    wide = grid.groupBy("layer", "expert").agg(*terms)
+    return wide.select("layer", "expert", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("score")) for c in criteria])).alias("x")).select("x.criterion", "layer", "expert", "x.score")
+
+
+def first_order(score: DataFrame, n: int, protected: DataFrame | None = None, *more: str) -> DataFrame:
     """(layer, expert, score, rank, pruned): the n lowest scores of each layer, ties to the smaller id.
 
     Protected experts rank behind all others; if fewer than n are unprotected the plan raises.
+    ``more`` columns of ``score`` keep several selections apart.
     """
     if protected is None:
         score = score.withColumn("safe", F.lit(0))
     else:
         score = score.join(F.broadcast(protected.select("layer", "expert").distinct().withColumn("safe", F.lit(1))), ["layer", "expert"], "left").fillna(0, ["safe"])
-    w = W.partitionBy("layer").orderBy("safe", "score", "expert")
+    w = W.partitionBy(*more, "layer").orderBy("safe", "score", "expert")
     out = score.withColumn("rank", F.row_number().over(w)).withColumn("pruned", F.col("rank") <= n)
     if protected is not None:
-        free = F.sum(F.lit(1) - F.col("safe")).over(W.partitionBy("layer"))
+        free = F.sum(F.lit(1) - F.col("safe")).over(W.partitionBy(*more, "layer"))
         out = out.withColumn("free", free).where(F.assert_true(F.col("free") >= n, F.lit("more experts to prune than are unprotected")).isNull())
-    return out.select("layer", "expert", "score", "rank", "pruned")
+    return out.select(*more, "layer", "expert", "score", "rank", "pruned")
 
 
 def protected_experts(grid: DataFrame, experts: int, fraction: float) -> DataFrame:
@@ -55,10 +66,10 @@ def protected_experts(grid: DataFrame, experts: int, fraction: float) -> DataFra
     return grid.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("layer", "expert").distinct()
 
 
-def retention(grid: DataFrame, mask: DataFrame) -> DataFrame:
-    """(layer, bucket, retention): kept mass over total mass."""
-    kept = grid.join(F.broadcast(mask.select("layer", "expert", "pruned")), ["layer", "expert"])
-    return kept.groupBy("layer", "bucket").agg((F.sum(F.when(~F.col("pruned"), F.col("s")).otherwise(0.0)) / F.greatest(F.sum("s"), F.lit(1e-30))).alias("retention"))
+def retention(grid: DataFrame, mask: DataFrame, *more: str) -> DataFrame:
+    """(layer, bucket, retention): kept mass over total mass, for each selection that ``more`` columns of the mask name."""
+    kept = grid.join(F.broadcast(mask.select(*more, "layer", "expert", "pruned")), ["layer", "expert"])
+    return kept.groupBy(*more, "layer", "bucket").agg((F.sum(F.when(~F.col("pruned"), F.col("s")).otherwise(0.0)) / F.greatest(F.sum("s"), F.lit(1e-30))).alias("retention"))
 
 
 def by_domain(ret: DataFrame, *more: str) -> DataFrame:
@@ -72,25 +83,65 @@ def worst(domains: DataFrame, *more: str) -> DataFrame:
     return domains.groupBy(*more).agg(least.alias("m"), F.avg("retention").alias("mean_retention")).select(*more, F.col("m.bucket").alias("worst_bucket"), F.col("m.retention").alias("worst_retention"), "mean_retention")
 
 
-def interaction_cost(f: DataFrame, mask: DataFrame) -> DataFrame:
-    """(layer, cost): the share of the layer's F between pruned experts; 0 if F sums to nothing."""
-    m = F.broadcast(mask.where("pruned").select("layer", "expert"))
-    both = f.join(m.select("layer", F.col("expert").alias("i"), F.lit(True).alias("pi")), ["layer", "i"], "left").join(m.select("layer", F.col("expert").alias("j"), F.lit(True).alias("pj")), ["layer", "j"], "left")
-    inside = F.sum(F.when(F.col("pi") & F.col("pj"), F.col("f")).otherwise(0.0))
-    return both.groupBy("layer").agg(F.when(F.sum("f") > 0, inside / F.sum("f")).otherwise(0.0).alias("cost"))
+def interaction_cost(f: DataFrame, mask: DataFrame, *more: str) -> DataFrame:
+    """(layer, cost): the share of the layer's F between pruned experts; 0 if F sums to nothing. ``more`` as in :func:`retention`.
+
+    A selection joins as one array a layer, so F is read once for all of them.
+    """
+    sets = mask.groupBy(*more, "layer").agg(F.collect_set(F.when(F.col("pruned"), F.col("expert"))).alias("gone"))
+    both = f.join(F.broadcast(sets), "layer")
+    inside = F.sum(F.when(F.array_contains("gone", F.col("i")) & F.array_contains("gone", F.col("j")), F.col("f")).otherwise(0.0))
+    return both.groupBy(*more, "layer").agg(F.when(F.sum("f") > 0, inside / F.sum("f")).otherwise(0.0).alias("cost"))
 
 
-def hope(f: DataFrame, experts: int, n: int, starts: int = 16) -> DataFrame:
-    """(layer, expert, pruned) of least interaction, one layer a group (experts squared values each)."""
+def hope(f: DataFrame, experts: int, n: int, starts: int = 16, protected: DataFrame | None = None) -> DataFrame:
+    """(layer, expert, pruned) of least interaction, one layer a group (experts squared values each).
+
+    Protected experts (layer, expert) are never chosen; raises if too few are left.
+    """
     prepare(f.sparkSession)
+    safe = f.select("layer", F.lit(None).cast("array<int>").alias("safe")).limit(0) if protected is None else protected.groupBy("layer").agg(F.collect_set(F.col("expert").cast("int")).alias("safe"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.zeros((experts, experts))
+        matrix, held = np.zeros((experts, experts)), pdf["safe"].iloc[0]
         matrix[pdf["i"], pdf["j"]] = pdf["f"]
-        chosen = prune_set(matrix, n, starts=starts)
+        chosen = prune_set(matrix, n, set() if held is None else set(map(int, held)), starts=starts)
         return pd.DataFrame({"layer": pdf["layer"].iloc[0], "expert": range(experts), "pruned": np.isin(np.arange(experts), chosen)})
 
-    return f.select("layer", "i", "j", "f").groupBy("layer").applyInPandas(solve, "layer int, expert int, pruned boolean")
+    return f.select("layer", "i", "j", "f").join(F.broadcast(safe), "layer", "left").groupBy("layer").applyInPandas(solve, "layer int, expert int, pruned boolean")
+
+
+def select(mode: str, score: DataFrame, f: DataFrame, experts: int, n: int, protected: DataFrame | None = None) -> DataFrame:
+    """(layer, expert, pruned) by a selector: ``reap`` takes the lowest scores, ``hope`` the least interaction."""
+    if mode == "reap":
+        return first_order(score, n, protected).select("layer", "expert", "pruned")
+    if mode == "hope":
+        return hope(f, experts, n, protected=protected)
+    raise ValueError(f"no selector is called {mode}")
+
+
+def board(grid: DataFrame, f: DataFrame, masks: DataFrame, buckets: list, *keys: str) -> DataFrame:
+    """One row a selection (``keys`` of ``masks``): worst bucket, retentions, interaction cost, and a column ``d<bucket>`` for each bucket."""
+    doms = by_domain(retention(grid, masks, *keys), *keys)
+    cost = interaction_cost(f, masks, *keys).groupBy(*keys).agg(F.avg("cost").alias("mean_cost"), F.max("cost").alias("max_cost"))
+    wide = [F.max(F.when(F.col("bucket") == b, F.col("retention"))).alias(f"d{b}") for b in buckets]
+    least = F.min(F.struct("retention", "bucket")).alias("m")
+    best = doms.groupBy(*keys).agg(least, F.avg("retention").alias("mean_retention"), *wide)
+    return best.select(*keys, F.col("m.bucket").alias("worst_bucket"), F.col("m.retention").alias("worst_retention"), "mean_retention", *[f"d{b}" for b in buckets]).join(cost, list(keys))
+
+
+def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, median): the value at place n // 2 of the sorted ones, one that occurs and no mean of two."""
+    w = W.partitionBy(*keys)
+    placed = rows.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    return placed.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+
+
+def exported(mask: DataFrame, wrapped: bool = True) -> DataFrame:
+    """One row with the mask as JSON: a map from layer names to sorted pruned ids, under ``mask`` or bare."""
+    layers = mask.where("pruned").groupBy("layer").agg(F.array_sort(F.collect_list("expert")).alias("ids"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("model.layers."), F.col("layer").cast("string")).alias("k"), F.col("ids").alias("v")))))
+    return layers.agg(F.to_json(F.struct(entries.alias("mask")) if wrapped else entries).alias("value"))
 
 
 def best_swap(f: DataFrame, mask: DataFrame) -> DataFrame:

@@ -42,3 +42,33 @@ def first_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select("layer", F.posexplode("ids").alias("at", "x"))
     y = b.select("layer", F.posexplode("ids").alias("at", "y"))
     return x.join(y, ["layer", "at"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).groupBy("layer").agg(F.min("at").alias("at"))
+
+
+def under(index: DataFrame, prefix: str) -> DataFrame:
+    """The tensors below a module; the prefix ends with a dot, so that layer 1 is not layer 11."""
+    return index.where(F.col("name").startswith(prefix if prefix.endswith(".") else prefix + "."))
+
+
+def rebuilt(planned: DataFrame) -> DataFrame:
+    """(name, shard) of the tensors that a plan leaves, under their new names."""
+    return planned.where("action <> 'dropped'").select(F.col("new_name").alias("name"), "shard")
+
+
+def pruned_config(mask: DataFrame, experts: int) -> DataFrame:
+    """One row: n_routed_experts, ragged, per_layer, experts_before. Unequal counts keep the old number and are marked ragged."""
+    kept = mask.groupBy("layer").agg((F.lit(experts) - F.sum(F.col("pruned").cast("int"))).cast("int").alias("n"))
+    uniform = F.min("n") == F.max("n")
+    layers = F.array_sort(F.collect_list(F.struct("layer", "n")))
+    return kept.agg(F.when(uniform, F.min("n")).otherwise(F.lit(experts)).alias("n_routed_experts"), (~uniform).alias("ragged"), F.when(~uniform, F.map_from_entries(layers)).alias("per_layer")).withColumn("experts_before", F.lit(experts))
+
+
+def untrained_layers(mask: DataFrame, routers: DataFrame) -> DataFrame:
+    """(layer): layers that a mask prunes and no refitted router covers."""
+    return mask.where("pruned").select("layer").distinct().join(routers.select("layer").distinct(), "layer", "left_anti")
+
+
+def require_keep_order(renumbering: DataFrame, routers: DataFrame) -> DataFrame:
+    """The routers (layer, ids, ...); raises at run time where ``ids`` aren't the layer's kept experts in their order."""
+    order = renumbering.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("new_expert", "expert"))).alias("o")).select("layer", F.transform("o", lambda x: x["expert"]).alias("kept"))
+    checked = routers.join(F.broadcast(order), "layer")
+    return checked.where(F.assert_true(F.col("ids").cast("array<bigint>") == F.col("kept").cast("array<bigint>"), F.concat(F.lit("router kept other experts than the mask in layer "), F.col("layer").cast("string"))).isNull()).drop("kept")

@@ -47,7 +47,7 @@ def mask(spark: SparkSession, d: str, criterion: str = "reap_1_1_1") -> DataFram
 
 
 def coact(spark: SparkSession, d: str) -> DataFrame:
-    return R.conditional_mean(R.coactivation(routing(spark, d)))
+    return R.conditional_mean(R.coactivation_of(T.gate_scores(spark, d), K))
 
 
 # The SQL side: one chain of common table expressions that each query continues.
@@ -111,8 +111,7 @@ def coactivation_f(spark, d):
 
 @query(f"WITH {GRID} SELECT criterion, layer, expert, round(score, 6) AS score FROM crit")
 def criterion_scores(spark, d):
-    g = grid(spark, d)
-    return reduce(DataFrame.unionByName, [S.scores(g, c).select(F.lit(c).alias("criterion"), "layer", "expert", r("score")) for c in S.CRITERIA])
+    return S.all_scores(grid(spark, d)).select("criterion", "layer", "expert", r("score"))
 
 
 @query(f"WITH {GRID} SELECT layer, expert, round(sum(s * (1.0 + bucket % 3)) / greatest(sum(cnt * (1.0 + bucket % 3)), 1), 6) AS score FROM grid GROUP BY layer, expert")
@@ -192,15 +191,30 @@ p AS (SELECT criterion, {", ".join(f"round(max(CASE WHEN bucket = {b} THEN reten
 SELECT criterion, row_number() OVER (ORDER BY worst_retention DESC, mean_cost, criterion) AS place, worst_bucket, round(worst_retention, 6) AS worst_retention, round(mean_retention, 6) AS mean_retention,
 round(mean_cost, 6) AS mean_cost, round(max_cost, 6) AS max_cost, {", ".join(f"d{b}" for b in range(10))} FROM w JOIN c USING (criterion) JOIN p USING (criterion)""")
 def criterion_leaderboard(spark, d):
-    g, f = grid(spark, d), coact(spark, d)
-    masks = {c: S.first_order(S.scores(g, c), N) for c in S.CRITERIA}
-    doms = reduce(DataFrame.unionByName, [S.by_domain(S.retention(g, m)).withColumn("criterion", F.lit(c)) for c, m in masks.items()])
-    cost = reduce(DataFrame.unionByName, [S.interaction_cost(f, m).withColumn("criterion", F.lit(c)) for c, m in masks.items()])
-    cost = cost.groupBy("criterion").agg(F.avg("cost").alias("mean_cost"), F.max("cost").alias("max_cost"))
-    wide = doms.groupBy("criterion").pivot("bucket", list(range(10))).agg(F.round(F.first("retention"), 6)).select("criterion", *[F.col(str(b)).alias(f"d{b}") for b in range(10)])
-    board = S.worst(doms, "criterion").join(cost, "criterion").join(wide, "criterion")
+    g = grid(spark, d)
+    masks = S.first_order(S.all_scores(g), N, None, "criterion")
+    board = S.board(g, coact(spark, d), masks, list(range(10)), "criterion")
     place = F.row_number().over(S.W.orderBy(F.desc("worst_retention"), "mean_cost", "criterion")).alias("place")
-    return board.select("criterion", place, "worst_bucket", r("worst_retention"), r("mean_retention"), r("mean_cost"), r("max_cost"), *[f"d{b}" for b in range(10)])
+    return board.select("criterion", place, "worst_bucket", r("worst_retention"), r("mean_retention"), r("mean_cost"), r("max_cost"), *[r(f"d{b}") for b in range(10)])
+
+
+@query(f"""WITH {HOPE}, allm AS (SELECT 'reap' AS mode, criterion, layer, expert, rk <= 8 AS pruned FROM masks UNION ALL SELECT 'hope', criterion, layer, expert, pruned FROM hope, (SELECT DISTINCT criterion FROM masks) c),
+ar AS (SELECT mode, criterion, layer, bucket, sum(CASE WHEN pruned THEN 0 ELSE s END) / greatest(sum(s), 1e-30) AS retention FROM grid JOIN allm USING (layer, expert) GROUP BY ALL),
+ad AS (SELECT mode, criterion, bucket, avg(retention) AS retention FROM ar GROUP BY ALL),
+ac AS (SELECT mode, criterion, ff.layer, sum(CASE WHEN a.pruned AND b.pruned THEN f ELSE 0 END) / sum(f) AS cost FROM ff JOIN allm a ON a.layer = ff.layer AND a.expert = i JOIN allm b USING (mode, criterion) WHERE b.layer = ff.layer AND b.expert = j GROUP BY mode, criterion, ff.layer),
+c AS (SELECT mode, criterion, round(avg(cost), 9) AS mean_cost FROM ac GROUP BY ALL), w AS (SELECT mode, criterion, arg_min(bucket, retention) AS worst_bucket, round(min(retention), 9) AS worst_retention FROM ad GROUP BY ALL)
+SELECT mode, criterion, worst_bucket, round(worst_retention, 6) AS worst_retention, round(mean_cost, 6) AS mean_cost, row_number() OVER (ORDER BY mean_cost, worst_retention DESC, criterion) AS by_cost,
+row_number() OVER (ORDER BY worst_retention DESC, criterion, mode) AS by_retention FROM w JOIN c USING (mode, criterion)""")
+def selector_leaderboard(spark, d):
+    """Every criterion with both selectors, ranked by interaction cost and by the worst bucket's retention."""
+    g, f = grid(spark, d), coact(spark, d)
+    reap = S.first_order(S.all_scores(g), N, None, "criterion").select(F.lit("reap").alias("mode"), "criterion", "layer", "expert", "pruned")
+    names = spark.createDataFrame([(c,) for c in S.CRITERIA], "criterion string")
+    least = S.hope(f, E, N).join(F.broadcast(names)).select(F.lit("hope").alias("mode"), "criterion", "layer", "expert", "pruned")
+    board = S.board(g, f, reap.unionByName(least), [], "mode", "criterion").select("mode", "criterion", "worst_bucket", r("worst_retention", 9), r("mean_cost", 9))
+    by_cost, by_retention = (F.row_number().over(S.W.orderBy(*o)) for o in (("mean_cost", F.desc("worst_retention"), "criterion"), (F.desc("worst_retention"), "criterion", "mode")))
+    ranked = board.select("*", by_cost.alias("by_cost"), by_retention.alias("by_retention"))
+    return ranked.select("mode", "criterion", "worst_bucket", r("worst_retention"), r("mean_cost"), "by_cost", "by_retention")
 
 
 @query(f"WITH {HOPE} SELECT layer, expert, pruned FROM hope")
@@ -208,6 +222,84 @@ def hope_mask(spark, d):
     return S.hope(coact(spark, d), E, N)
 
 
+@query(f"""WITH {COACT}, {_SAFE}, banned AS (SELECT layer, CAST(sum(1 << expert) AS BIGINT) AS b FROM safe GROUP BY layer), subsets AS (SELECT m FROM (SELECT unnest(range(65536)) AS m) q WHERE bit_count(m) = {N_SAFE}),
+objective AS (SELECT ff.layer, m, sum(f) AS obj FROM subsets JOIN banned ON m & b = 0 JOIN ff ON ff.layer = banned.layer AND (m >> i) & 1 = 1 AND (m >> j) & 1 = 1 GROUP BY ff.layer, m),
+best AS (SELECT layer, arg_min(m, obj) AS m FROM objective GROUP BY layer) SELECT layer, expert, (m >> expert) & 1 = 1 AS pruned FROM best, (SELECT unnest(range(16)) AS expert) e""")
+def hope_mask_protected(spark, d):
+    """Least interaction without the experts that any bucket needs most."""
+    return S.select("hope", None, coact(spark, d), E, N_SAFE, S.protected_experts(grid(spark, d), E, PROTECT))
+
+
+@query(f"WITH {GRID} SELECT bucket, round(retention, 6) AS retention, row_number() OVER (ORDER BY retention, bucket) AS place FROM dom WHERE criterion = 'reap_1_1_1'")
+def domain_table(spark, d):
+    """Buckets from the worst kept to the best."""
+    doms = S.by_domain(S.retention(grid(spark, d), mask(spark, d)))
+    return doms.select("bucket", r("retention"), F.row_number().over(S.W.orderBy("retention", "bucket")).alias("place"))
+
+
+@query(f"""WITH {GRID}, o AS (SELECT bucket, retention, row_number() OVER (PARTITION BY bucket ORDER BY retention) AS k, count(*) OVER (PARTITION BY bucket) AS n FROM ret WHERE criterion = 'reap_1_1_1')
+SELECT bucket, round(retention, 6) AS median FROM o WHERE k = n // 2 + 1""")
+def upper_median(spark, d):
+    """Each bucket's upper median over layers."""
+    return S.upper_median(S.retention(grid(spark, d), mask(spark, d)), "retention", "bucket").select("bucket", r("median"))
+
+
+@query(f"WITH {GRID} SELECT layer, expert FROM masks WHERE criterion = 'reap_1_1_1' AND rk <= 8")
+def mask_export_import(spark, d):
+    """The mask written as JSON, two layers bare and two under a key, and read again."""
+    m = mask(spark, d)
+    texts = S.exported(m.where("layer <= 2")).unionByName(S.exported(m.where("layer > 2"), wrapped=False))
+    return T.pruned_from_json(texts)
+
+
+@query(f"WITH {GRID} SELECT layer, bucket, expert, cnt, round(s, 3) AS s FROM acc")
+def accumulators_reload(spark, d):
+    """Accumulators stored with 32-bit sums and read as doubles."""
+    from corvane.streaming.state import scratch
+
+    at = scratch(spark, "accumulators")
+    acc = R.accumulators(routing(spark, d))
+    acc.select("layer", "bucket", "expert", F.col("cnt").cast("int").alias("cnt"), F.col("s").cast("decimal(28,9)").alias("s")).write.parquet(at)
+    return T.read_accumulators(spark, at).select("layer", "bucket", "expert", "cnt", r("s", 3))
+
+
+@query(f"""WITH {GRID}, l AS (SELECT bucket, sum(s) AS mass FROM grid WHERE bucket <> 3 GROUP BY bucket UNION ALL SELECT 3, 0.0)
+SELECT bucket, round(mass, 6) AS mass, mass > 0 AS live, mass <= 0 AND bucket <> 5 AS refused FROM l""")
+def dead_domain_refusal(spark, d):
+    """Liveness where one bucket has lost its mass: it is refused unless it is allowed."""
+    acc = R.accumulators(routing(spark, d)).withColumn("s", F.when(F.col("bucket") == 3, 0.0).otherwise(F.col("s")))
+    return R.liveness(acc).select("bucket", r("mass"), "live", (~F.col("live") & (F.col("bucket") != 5)).alias("refused"))
+
+
+@query(f"""WITH {GRID}, m AS (SELECT layer, expert FROM masks WHERE criterion = 'reap_1_1_1' AND rk > 8),
+c AS (SELECT r.layer, token, r.expert, x, row_number() OVER (PARTITION BY r.layer, token ORDER BY x DESC, r.expert) AS kr FROM ranked r JOIN m USING (layer, expert) WHERE valid),
+p AS (SELECT layer, token, kr, row_number() OVER (PARTITION BY layer, token ORDER BY 1 / (1 + exp(-x)) + 0.05 * (expert * 7 % 5) DESC, kr) AS k FROM c WHERE kr <= 6)
+SELECT layer, round(avg(CASE WHEN kr = 6 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM p WHERE k <= 4 GROUP BY layer""")
+def refit_boundary(spark, d):
+    """How often a student with other preferences takes the last of six candidates."""
+    def student(expert, x):
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-x)) + F.lit(0.05) * (expert * 7 % 5)
+
+    return refit.boundary_rate(T.gate_scores(spark, d), mask(spark, d), K, 6, student).select("layer", r("rate"))
+
+
+@query(f"""WITH RECURSIVE {GRID}, xs AS (SELECT layer, expert, s / sum(s) OVER (PARTITION BY layer) * 16 AS x FROM sums), t(layer, it, lo, hi) AS (SELECT layer, 0, min(x) - 1.0, max(x) FROM xs GROUP BY layer
+UNION ALL SELECT t.layer, any_value(it) + 1, CASE WHEN sum(least(1, greatest(0, x - (lo + hi) / 2))) > 8 THEN any_value((lo + hi) / 2) ELSE any_value(lo) END, CASE WHEN sum(least(1, greatest(0, x - (lo + hi) / 2))) > 8 THEN any_value(hi) ELSE any_value((lo + hi) / 2) END
+FROM t JOIN xs ON xs.layer = t.layer WHERE it < 60 GROUP BY t.layer)
+SELECT layer, expert, round(least(1, greatest(0, x - (lo + hi) / 2)), 6) AS p FROM xs JOIN t USING (layer) WHERE it = 60""")
+def capped_simplex(spark, d):
+    """Each layer's masses moved to the nearest point of the box that sums to the number of pruned experts."""
+    import pandas as pd
+
+    from corvane.functions.solver import onto_simplex
+
+    def solve(pdf):
+        pdf = pdf.sort_values("expert")
+        return pd.DataFrame({"layer": pdf["layer"], "expert": pdf["expert"], "p": onto_simplex(pdf["s"].to_numpy() / pdf["s"].sum() * E, N).round(6)})
+
+    return S.scores(grid(spark, d), "total_0_1_1").withColumnRenamed("score", "s").groupBy("layer").applyInPandas(solve, "layer int, expert int, p double")
+
+
 @query(f"""WITH {HOPE}, hr AS (SELECT layer, bucket, sum(CASE WHEN pruned THEN 0 ELSE s END) / greatest(sum(s), 1e-30) AS retention FROM grid JOIN hope USING (layer, expert) GROUP BY layer, bucket),
 hd AS (SELECT bucket, avg(retention) AS h FROM hr GROUP BY bucket) SELECT bucket, round(h - retention, 6) AS delta FROM hd JOIN dom USING (bucket) WHERE criterion = 'reap_1_1_1'""")
 def hope_minus_reap(spark, d):
@@ -280,7 +372,7 @@ UNION ALL SELECT 'diagonal_second_moment', count(*) FILTER (WHERE f.f_sum IS NUL
 UNION ALL SELECT 'diagonal_count', count(*) FILTER (WHERE f_cnt IS DISTINCT FROM cnt) FROM (SELECT * FROM f WHERE i = j) f FULL JOIN t ON f.layer = t.layer AND f.i = t.expert
 UNION ALL SELECT 'pair_count_bound', count(*) FILTER (WHERE f_cnt > least(a.cnt, b.cnt)) FROM f JOIN t a ON f.layer = a.layer AND f.i = a.expert JOIN t b ON f.layer = b.layer AND f.j = b.expert""")
 def verify_invariants(spark, d):
-    return checks.invariants(R.accumulators(routing(spark, d)), R.coactivation(routing(spark, d)))
+    return checks.invariants(R.accumulators(routing(spark, d)), R.coactivation_of(T.gate_scores(spark, d), K))
 
 
 @query(f"""WITH {ROUTING}, snap AS (SELECT k, layer, bucket, expert, count(*) AS cnt, sum(gate * norm) AS s FROM routing, (SELECT unnest(range(3)) AS k) q WHERE valid AND token % 3 <= k GROUP BY k, layer, bucket, expert)
@@ -338,7 +430,7 @@ def refit_baseline_mse(spark, d):
 @query()
 def router_refit(spark, d):
     """Gradient refit on a bounded sample of affected tokens a layer, accepted only where the loss of all valid tokens falls."""
-    scores, pruned = T.gate_scores(spark, d), mask(spark, d)
+    scores, pruned = T.gate_scores(spark, d, hidden=True), mask(spark, d)
     sample = smallest_hash(refit.affected_scores(scores, pruned, K).select("layer", "token"), 512, "fit", ["layer"], "layer", "token")
     return refit.refit(scores, pruned, K, train=sample)
 

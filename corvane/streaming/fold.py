@@ -34,7 +34,9 @@ def fold(spark: SparkSession, source: str, schema: StructType, state: str, check
     """
     def step(batch: DataFrame, number: int) -> None:
         new = sums(batch)
-        if number and _exists(spark, f"{state}/v={number}/_SUCCESS"):
+        if number:
+            if not _exists(spark, f"{state}/v={number}/_SUCCESS"):
+                raise FileNotFoundError(f"batch {number} follows sums that are missing in {state}/v={number}")
             new = merged(spark.read.parquet(f"{state}/v={number}"), new)
         bad = new.where("cnt < 0 or isnan(s) or isnan(sq) or sq < 0")
         if not bad.isEmpty():  # verified before it is kept
@@ -43,7 +45,15 @@ def fold(spark: SparkSession, source: str, schema: StructType, state: str, check
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    last = 1
-    while _exists(spark, f"{state}/v={last + 1}/_SUCCESS"):
-        last += 1
-    return spark.read.parquet(f"{state}/v={last}")
+    last = _committed(spark, checkpoint)
+    if last is None or not _exists(spark, f"{state}/v={last + 1}/_SUCCESS"):
+        raise FileNotFoundError(f"{checkpoint} has committed batch {last}, whose sums are missing in {state}")
+    return spark.read.parquet(f"{state}/v={last + 1}")
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """The last batch that a checkpoint has committed; sums of other checkpoints beyond it don't count."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return max((int(x) for x in names if x.isdigit()), default=None)
