@@ -178,14 +178,14 @@ def _reaches(sa: np.ndarray, sb: np.ndarray) -> bool:
 
 
 def _pairs(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the block's pairs that no batch pruned: rows of side 0 with rows of side 1 in other components.
+    """Places of the block's pairs that no batch pruned: rows of side 0 with rows of side 1 (2: of both) in other components.
 
     A pair that shares several bands is compared in the first of them only (``band``; -1: in all).
     """
     ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "comp", "side"))
     top, band = rows.column("top")[0].as_py(), rows.column("band")[0].as_py()
     sig = _matrix(rows.column("sig").combine_chunks())
-    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     meet = (comp[x][:, None] != comp[y][None, :]) & ((comp[y] == top)[None, :] | (ids[x][:, None] < ids[y][None, :]))
     first = least[BATCH]
     for at in range(0, len(x), 32):  # the first batch of minima, a few rows at a time
@@ -292,11 +292,16 @@ def _crossing(rows: DataFrame) -> DataFrame:
     return rows.join(tops, "key")
 
 
-def _dealt(left: DataFrame, right: DataFrame, i: Column, j: Column, lefts: Column, rights: Column, names: tuple[str, str]) -> DataFrame:
-    """Rows of both sides in a grid of blocks: a left row in all blocks of its line, a right row in all of its column."""
-    a = left.withColumn(names[0], i).withColumn(names[1], F.explode(F.sequence(F.lit(0), rights - 1)))
-    b = right.withColumn(names[0], F.explode(F.sequence(F.lit(0), lefts - 1))).withColumn(names[1], j)
-    return a.unionByName(b)
+def _dealt(rows: DataFrame, i: Column, j: Column, names: tuple[str, str]) -> DataFrame:
+    """Rows in a grid of lefts x rights blocks: one of side 0 in all blocks of its line, one of side 1 in all of its column.
+
+    A row of both sides (2) stays one row where the grid is a single block.
+    """
+    single = (F.col("lefts") == 1) & (F.col("rights") == 1)
+    alone = rows.where(single).withColumn(names[0], F.lit(0)).withColumn(names[1], F.lit(0))
+    a = rows.where(~single & (F.col("side") != 1)).withColumn("side", F.lit(0)).withColumn(names[0], i).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    b = rows.where(~single & (F.col("side") != 0)).withColumn("side", F.lit(1)).withColumn(names[0], F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn(names[1], j)
+    return alone.unionByName(a).unionByName(b)
 
 
 def _parts(count: Column, *salt: Column) -> Column:
@@ -310,17 +315,16 @@ def _cross_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, name: str) -
     most about LEFT x RIGHT signatures. Rows with a surviving pair meet again with
     their texts, in the same blocks cut by bytes; only links leave these.
     """
-    lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("m") / RIGHT).cast("int")
-    sides = [rows.where("comp <> top").withColumn("side", F.lit(0)), rows.withColumn("side", F.lit(1))]
-    blocks = _dealt(*sides, _parts(lefts), _parts(rights, F.lit(1)), lefts, rights, ("i", "j")).select(*_LIVE).join(sigs, "id")
+    sized = rows.withColumn("lefts", F.ceil(F.col("outside") / LEFT).cast("int")).withColumn("rights", F.ceil(F.col("m") / RIGHT).cast("int"))
+    sized = sized.withColumn("side", F.when(F.col("comp") == F.col("top"), 1).otherwise(2))
+    blocks = _dealt(sized, _parts(F.col("lefts")), _parts(F.col("rights"), F.lit(1)), ("i", "j")).select(*_LIVE).join(sigs, "id")
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     live = written(blocks.mapInArrow(_blocks(("key", "i", "j"), _live), "key bigint, i int, j int, side int, id bigint, comp bigint, top bigint, band int"), f"{name}-live")
     texts = _texts(live.select(F.col("id").alias("doc_id")).distinct(), docs, name).withColumnRenamed("doc_id", "id")
     sized = live.join(texts.select("id", F.octet_length("text").cast("bigint").alias("size")), "id")
-    count = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == k, F.col("size"))) / BLOCK_BYTES)).cast("int").alias(c) for k, c in enumerate(("lefts", "rights"))]
+    count = [F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") != other, F.col("size"))) / BLOCK_BYTES)).cast("int").alias(c) for other, c in ((1, "lefts"), (0, "rights"))]
     sized = live.join(sized.groupBy("key", "i", "j").agg(*count), ["key", "i", "j"])
-    full = _dealt(sized.where("side = 0"), sized.where("side = 1"), _parts(F.col("lefts"), F.lit(2)), _parts(F.col("rights"), F.lit(3)), F.col("lefts"), F.col("rights"), ("p", "q"))
-    full = full.select(*_LIVE, "p", "q").join(sigs, "id").join(texts, "id").repartition("key", "i", "j", "p", "q").sortWithinPartitions("key", "i", "j", "p", "q")
+    full = _dealt(sized, _parts(F.col("lefts"), F.lit(2)), _parts(F.col("rights"), F.lit(3)), ("p", "q")).select(*_LIVE, "p", "q").join(sigs, "id").join(texts, "id").repartition("key", "i", "j", "p", "q").sortWithinPartitions("key", "i", "j", "p", "q")
     return written(full.mapInArrow(_blocks(("key", "i", "j", "p", "q"), _verified), "a bigint, b bigint").distinct(), f"{name}-links")
 
 
