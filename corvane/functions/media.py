@@ -41,24 +41,35 @@ def patch_rows(grids: Column) -> Column:
     return F.aggregate(F.transform(grids, patches), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def resampled(wave: Column, rate: int, to: int) -> Column:
     """A waveform at another rate: floor(size * to / rate) values interpolated between its ends."""
-    last = F.size(wave) - 1
-    n = F.floor(F.size(wave) * to / F.lit(float(rate))).cast("int")
+    def run(w: Column) -> Column:
+        last = F.size(w) - 1
+        n = F.floor(F.size(w) * to / F.lit(float(rate))).cast("int")
 
-    def value(i: Column) -> Column:
-        at = i * last / F.greatest(n - 1, F.lit(1)).cast("double")
-        low = F.least(F.floor(at).cast("int"), last)
-        a, b = F.get(wave, low), F.get(wave, F.least(low + 1, last))
-        return a + (at - low) * (b - a)
+        def value(i: Column) -> Column:
+            at = i * last / F.greatest(n - 1, F.lit(1)).cast("double")
+            low = F.least(F.floor(at).cast("int"), last)
+            a, b = F.get(w, low), F.get(w, F.least(low + 1, last))
+            return a + (at - low) * (b - a)
 
-    return wave if rate == to else F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.slice(wave, 1, 0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.slice(w, 1, 0))
+
+    return wave if rate == to else bound(wave, run)
 
 
 def peak_normalised(wave: Column, rate: int, peak: float = 0.7, seconds: int = 30) -> Column:
     """A waveform scaled so that its greatest value is ``peak`` and cut to ``seconds``; silence stays."""
-    top = F.array_max(F.transform(wave, F.abs))
-    return F.transform(F.slice(wave, 1, rate * seconds), lambda x: x / F.when(top > 0, top).otherwise(1.0) * peak)
+    def run(w: Column) -> Column:
+        top = F.array_max(F.transform(w, F.abs))
+        return bound(F.when(top > 0, top).otherwise(1.0), lambda t: F.transform(F.slice(w, 1, rate * seconds), lambda x: x / t * peak))
+
+    return bound(wave, run)
 
 
 def prepared_audio(wave: Column, rate: int, to: int, seconds: int = 30) -> Column:

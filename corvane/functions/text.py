@@ -62,3 +62,13 @@ def any_messages(*lists: Column) -> Column:
 def or_prompt(col: Column, prompt: str) -> Column:
     """A default prompt where the text is null or empty."""
     return F.coalesce(F.nullif(col, F.lit("")), F.lit(prompt))
+
+
+def spliced(ids: Column, mark: Column, media: Column) -> Column:
+    """``ids`` with the i-th entry of ``media`` in place of the i-th mark; raises at run time if their numbers differ."""
+    def run(holes: Column) -> Column:
+        filled = F.transform(ids, lambda x, i: F.when(x == mark, F.get(media, (F.array_position(holes, i) - 1).cast("int"))).otherwise(x))
+        return F.when(F.assert_true(F.size(holes) == F.size(media), F.lit("placeholders and media differ in number")).isNull(), filled)
+
+    places = F.filter(F.transform(ids, lambda x, i: F.when(x == mark, i)), F.isnotnull)
+    return F.get(F.transform(F.array(places), run), F.lit(0))
