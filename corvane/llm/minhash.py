@@ -368,3 +368,25 @@ def components(docs: DataFrame, name: str = "minhash") -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "set_key").join(same, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("root"), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, name: str = "minhash") -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id, with all columns.
+
+    Of rows that repeat an id only the one of the smallest text stays (a null text counts
+    as empty, equal texts as one); rows with a null id stay. Only rows with repeated ids are grouped.
+    """
+    gone = written(components(docs, name).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), f"{name}-gone")
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("__again")).agg(F.count(F.lit(1)).alias("n"))
+    again = written(ids.where("n > 1").select("__again"), f"{name}-again")
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    key = docs["doc_id"].cast("bigint")
+    left = docs.join(few(gone), key == gone["__gone"], "left_anti")
+    if again.isEmpty():
+        return left
+    marked, once = left.join(few(again), key == again["__again"], "left_semi"), left.join(few(again), key == again["__again"], "left_anti")
+    first = marked.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce("text", F.lit(""))).alias("__one"))
+    return once.unionByName(first.select("__one.*"))

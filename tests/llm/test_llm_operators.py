@@ -287,6 +287,16 @@ def test_minhash_null_and_repeated_ids(spark):
     assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(None, None, True), (3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False)]
 
 
+def test_deduplication_keeps_one_row_of_an_id(spark):
+    text = " ".join(words(30, 1))
+    rows = [(None, text, 1), (None, text, 2), (5, text, 3), (5, text, 4), (3, "b", 5), (3, "a", 6), (3, None, 7), (7, text, 8), (9, "alone", 9)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n int").withColumn("id", F.col("n"))
+    got = sorted(((r.doc_id, r.text) for r in minhash.deduplicated(d).collect()), key=str)
+    assert got == sorted([(None, text), (None, text), (5, text), (3, None), (9, "alone")], key=str)
+    assert minhash.deduplicated(d.where("false")).count() == 0
+    assert minhash.deduplicated(d.where("doc_id = 9")).columns == d.columns
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.id: r.root for r in common.connected(spark.createDataFrame(edges, "a bigint, b bigint"), "t").collect()}
