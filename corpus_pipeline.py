@@ -31,9 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, that of the smallest id."""
-    gone = minhash.components(docs, "pipeline-minhash").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    """Keeps one document of each near-duplicate group, that of the smallest id, and one row of each id."""
+    return minhash.deduplicated(docs, "pipeline-minhash")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
