@@ -64,7 +64,12 @@ def resampled(wave: Column, rate: int, to: int) -> Column:
 
 
 def peak_normalised(wave: Column, rate: int, peak: float = 0.7, seconds: int = 30) -> Column:
-    """A waveform scaled so that its greatest value is ``peak`` and cut to ``seconds``; silence stays."""
+    """A waveform scaled to ``peak`` and cut to ``seconds``; null if shorter than a quarter of a second."""
+    return F.when(F.size(wave) >= rate // 4, _scaled(wave, rate, peak, seconds))
+
+
+def _scaled(wave: Column, rate: int, peak: float, seconds: int) -> Column:
+    """A waveform whose greatest value is made ``peak``, cut to ``seconds``; silence stays."""
     def run(w: Column) -> Column:
         top = F.array_max(F.transform(w, F.abs))
         return bound(F.when(top > 0, top).otherwise(1.0), lambda t: F.transform(F.slice(w, 1, rate * seconds), lambda x: x / t * peak))
@@ -72,9 +77,9 @@ def peak_normalised(wave: Column, rate: int, peak: float = 0.7, seconds: int = 3
     return bound(wave, run)
 
 
-def prepared_audio(wave: Column, rate: int, to: int, seconds: int = 30) -> Column:
-    """What a model takes of a waveform: resampled, normalised, cut; null below a quarter of a second's values."""
-    return F.when(F.size(wave) >= to // 4, peak_normalised(resampled(wave, rate, to), to, seconds=seconds))
+def prepared_audio(wave: Column, rate: int, to: int, peak: float = 0.7, seconds: int = 30) -> Column:
+    """What a model takes of a waveform: resampled, normalised, cut; null if it comes with less than a quarter of a second's values."""
+    return F.when(F.size(wave) >= to // 4, _scaled(resampled(wave, rate, to), to, peak, seconds))
 
 
 def dequantised_fp4(packed: Column, scales: Column, block: int = 32) -> Column:
