@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of a run of documents form a small corpus. All their symbols
-stand in one array with previous/next links, and an inverted index holds for
-each merge rank the positions of the pairs that it joins. Ranks are replayed
-smallest first; a merge touches only the merged position and its two neighbours,
-whose new pairs go back into the index. Every piece is encoded once for a task
-and each document is then a look-up of its pieces, so no text is shuffled.
+A first pass counts the corpus's distinct units (about: words); counts are summed by
+the executors. The replay runs over this vocabulary, part by part: all symbols of a part's
+pieces stand in one array with previous/next links, and an inverted index holds for each
+merge rank (a pair of tokens) the positions of the pairs that it joins. Ranks are replayed
+smallest first; a merge touches only the merged position and its two neighbours, whose
+new pairs go back into the index. A second pass is a look-up of each document's units: the
+``SHARED`` most frequent ones, nearly all of a text, reach every executor as a broadcast
+of bounded size; the others, which few documents hold, are replayed where they stand, by
+the same code over all new units of a run of documents. No text is shuffled.
 
 Defined cases: null text counts as empty; an empty text has no tokens; repeated
 rows are encoded each; other columns are neither read nor returned by
@@ -17,7 +20,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import pickle
 import re
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -25,12 +30,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, shared_value
 
-#: Pieces whose ids a task remembers; beyond it the memory is emptied and filled anew.
+#: Units of the corpus's vocabulary that are broadcast with their ids, and the longest of these in characters.
+SHARED, SHARED_LENGTH = 150_000, 40
+#: Distinct units that a task counts, and units that are replayed at once.
+COUNTED, REPLAYED = 200_000, 50_000
+#: Units whose ids a task remembers; beyond it only the broadcast ones stay.
 REMEMBERED = 400_000
 #: A space beside other white space.
 SPACED = re.compile(r" \s|\s ")
@@ -187,14 +197,16 @@ class ByteBpe:
     def encode_texts(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
         """Ids of each text as bytes; ``known`` remembers units between calls."""
         found = [self.keys(text) for text in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
         new = list(set(chain.from_iterable(found)).difference(known))
-        pieces = [self.pattern.findall(x[1:] if x[:1] == " " else " " + x) for x in new]
+        known.update(zip(new, self.units(new), strict=True))
+        return [b"".join(map(known.__getitem__, x)) for x in found]
+
+    def units(self, keys: list[str]) -> list[bytes]:
+        """Ids of each unit: one replay over the distinct pieces of all of them."""
+        pieces = [self.pattern.findall(x[1:] if x[:1] == " " else " " + x) for x in keys]
         distinct = list(set(chain.from_iterable(pieces)))
         ids = dict(zip(distinct, self.replay([x.encode() for x in distinct]), strict=True))
-        known.update((x, b"".join(map(ids.__getitem__, p))) for x, p in zip(new, pieces, strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in found]
+        return [b"".join(map(ids.__getitem__, p)) for p in pieces]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4")
@@ -218,6 +230,50 @@ def vocabulary(spark, ranks_path: str, pattern: str):
         return shared_value(spark, (file.read(), pattern))
 
 
+def _counted(shared):
+    """(unit, n) of a task's texts."""
+    def run(batches):
+        bpe, counts = load(*shared.value), Counter()
+        for _, texts in chunks(batches, "__text"):
+            for text in texts:
+                counts.update(bpe.keys(text))
+            if len(counts) > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+                counts = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+    return run
+
+
+def _replayed(shared):
+    def run(batches):
+        bpe = load(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, REPLAYED):
+                part = batch.slice(at, REPLAYED)
+                yield pa.RecordBatch.from_arrays([part.column("unit"), pa.array(bpe.units(part.column("unit").to_pylist()), pa.binary())], names=["unit", "ids"])
+    return run
+
+
+def replayed_vocabulary(texts: DataFrame, shared, most: int = SHARED) -> DataFrame:
+    """(unit, ids) of the ``most`` most frequent units of at most SHARED_LENGTH characters that stand twice or more; column ``__text``."""
+    counts = texts.mapInArrow(_counted(shared), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    often = counts.where((F.col("n") > 1) & (F.length("unit") <= SHARED_LENGTH)).orderBy(F.desc("n"), "unit").limit(most)
+    return often.select("unit").repartition(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_replayed(shared), "unit string, ids binary")
+
+
+_KNOWN: dict[int, tuple[object, dict[str, bytes]]] = {}
+
+
+def _known(shared) -> dict[str, bytes]:
+    """A broadcast vocabulary as a look-up, built once in a worker and held with the value it was built from."""
+    value = shared.value
+    if id(value) not in _KNOWN:
+        _KNOWN.clear()
+        units, ids = pickle.loads(zstandard.decompress(value))
+        _KNOWN[id(value)] = value, dict(zip(units, ids, strict=True))
+    return _KNOWN[id(value)][1]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and the ids as ``ids`` (little-endian uint32 bytes) with ``decoded`` text.
 
@@ -232,9 +288,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     names = (["ids_sha256", "decoded_sha256"], ["ids", "decoded"])[not digests]
     joiner = "," if head else ""
 
+    units = replayed_vocabulary(source.select("__text"), shared).toArrow()
+    common = shared_value(docs.sparkSession, zstandard.compress(pickle.dumps((units.column("unit").to_pylist(), units.column("ids").to_pylist()))))
+
     def run(batches):
-        bpe, known = load(*shared.value), {}
+        bpe, known = load(*shared.value), dict(_known(common))
         for part, texts in chunks(batches, "__text"):
+            if len(known) > REMEMBERED:
+                known = dict(_known(common))
             ids = bpe.encode_texts(texts, known)
             decoded = [bpe.decode_bytes(x) for x in ids]
             if digests:
