@@ -613,6 +613,34 @@ def test_embedding_links_against_brute_force(spark):
     assert lattice.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_links_of_tight_groups_are_counted_exactly(spark, monkeypatch, block):
+    """Groups of near copies, some about as far from each other as the threshold, with copies and shared ids."""
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    base[1] = base[0] * 0.9 + base[1] * np.sqrt(1 - 0.81)
+    base[2] = base[0] * 0.95 + base[2] * np.sqrt(1 - 0.95**2)
+    vecs = [base[g] * rng.uniform(0.1, 5) + rng.normal(size=48) * s for g, s, n in ((0, 0.01, 60), (1, 0.01, 40), (2, 0.02, 30), (3, 0.03, 20), (4, 0.06, 20), (5, 0.0, 5)) for _ in range(n)]
+    vecs += vecs[:10]
+    order = rng.permutation(len(vecs))
+    rows = [(int(k), vecs[i].tolist()) for k, i in enumerate(order)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = x @ x.T >= 0.9
+    np.fill_diagonal(g, False)
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= g.sum(1)).all() and found.sum() >= 0.99 * g.sum()
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[i], *(root[j] for j in np.flatnonzero(g[i])), root[i]) for i in range(len(rows))]
+    assert [got[i].component_id for i in range(len(rows))] == root
+    shared = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (0, [0.01, 1.0])], "vec_id bigint, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicates(shared).collect()) == [(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1)]
+
+
 def test_chat_links_orders_and_validates(spark):
     schema = {"type": "object", "properties": {"city": {"type": "string"}, "days": {"type": "integer"}}, "required": ["city"], "additionalProperties": False}
     call = lambda i, **a: json.dumps({"tool_calls": [{"id": i, "function": {"name": "weather", "arguments": json.dumps(a)}}]})
@@ -703,6 +731,31 @@ def test_chat_takes_odd_json(spark):
     assert json.loads(next(r.message for r in got if r.conv_id == 1 and r.turn == 2))["content"] == deep
 
 
+def test_scope_leaves_nothing(spark):
+    from pathlib import Path
+
+    root = Path(common.shared_dir(spark)) / f"corvane-{spark.sparkContext.applicationId}"
+    with common.scope(spark):
+        assert common.written(spark.range(3), "x").count() == 3
+        assert list(root.glob("scope-*/x-*"))
+    assert not list(root.glob("scope-*"))
+
+
+def test_pipeline_on_odd_and_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(words(40, 1))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " more", "en", "s", None), (3, None, None, None, None), (4, "", "en", "s", 0), (None, "a null id " + text, "en", "s", 1), (5, "12 34 !!", "en", "s", 8), (6, "mail x@y.example.org of " + " ".join(words(30, 2)), "en", "s", 3)]
+    for name, data in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        common.table(spark, SMALL, "benchmark").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted(((r.doc_id is None, r.doc_id) for r in out)) == [(False, 1), (False, 6), (True, None)]
+    mine = next(r for r in out if r.doc_id == 6)
+    assert mine.decoded_sha256 == hashlib.sha256(rows[7][1].replace("x@y.example.org", "[EMAIL]").encode()).hexdigest()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_pipeline_stages_in_sequence(spark):
     import corpus_pipeline
 
