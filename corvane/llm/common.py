@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +50,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     above, and a plan that is read twice is computed once.
     """
     spark = prepare(df.sparkSession)
-    path = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}{_SCOPE.get()}"
+
+
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete what :func:`written` left for this application, once results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}")
+    """Delete what :func:`written` left for this application (in a scope: for the scope), once results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What :func:`written` writes inside is deleted at the end; store results before it."""
+    token = _SCOPE.set(f"/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+        _SCOPE.reset(token)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
