@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontaminate, langid, minhash, pii
-from corvane.llm.common import shared_dir, table
+from corvane.llm.common import scope, shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A document is rejected if no language has this share of the posterior.
@@ -68,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{k}")
+        with scope(spark):  # a stage's own tables go once its result is stored
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{at}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{at}/{k}")
     return docs
