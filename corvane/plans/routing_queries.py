@@ -450,7 +450,9 @@ def saliency_large(spark, d):
 
 
 def large(spark, d) -> DataFrame:
-    lines = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("token"), (F.col("l_suppkey") % 64).alias("expert")).agg(F.sum("l_quantity").alias("q"), (F.sum("l_extendedprice") / 100000).alias("norm"))
+    # Dealt by token once: the aggregate, the window and the join all keep that partitioning.
+    dealt = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("token"), (F.col("l_suppkey") % 64).alias("expert"), "l_quantity", "l_extendedprice").repartition("token")
+    lines = dealt.groupBy("token", "expert").agg(F.sum("l_quantity").alias("q"), (F.sum("l_extendedprice") / 100000).alias("norm"))
     orders = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_orderpriority").alias("bucket"))
     gated = lines.withColumn("gate", F.col("q") / F.sum("q").over(S.W.partitionBy("token")))
     return gated.join(orders, "token").select(F.lit(1).alias("layer"), "token", "bucket", "expert", "gate", "norm", F.lit(True).alias("valid"))
