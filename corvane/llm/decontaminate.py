@@ -34,6 +34,8 @@ TILE, COVERAGE = 5, 0.5
 BITS = 1 << 24
 #: Up to so many rows of seeds, items or leaked texts are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 100_000
 #: Into so many parts the documents of one seed or item are dealt in such a join.
 SALTS = 16
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -51,7 +53,7 @@ class PlainHashes(dict):
 
 def plain_words(text: str | None, known: PlainHashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(known) > 500_000:
+    if len(known) > REMEMBERED:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     return h[h != 0]

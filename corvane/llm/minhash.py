@@ -46,6 +46,8 @@ MISS = 1e-5
 SPREAD = 4096
 #: Rows of the two sides of a block of signatures, and bytes of text of a side of a block of texts.
 LEFT, RIGHT, BLOCK_BYTES = 128, 256, 16 << 20
+#: Words whose hashes a task remembers (a few ten MB), and bytes of text that it signs at once.
+REMEMBERED, SIGNED_BYTES = 100_000, 2 << 20
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 _RNG = np.random.default_rng(20_011)
@@ -71,7 +73,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     """Hashes of the text's words: A-Z in lower case, cut at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(known) > 500_000:
+    if len(known) > REMEMBERED:
         known.clear()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -104,7 +106,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for part, texts in chunks(batches, "text"):
+    for part, texts in chunks(batches, "text", SIGNED_BYTES):
         sizes, keys, sigs = [], [], []
         for text in texts:
             s = shingles(text, known)
