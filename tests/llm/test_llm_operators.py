@@ -129,6 +129,35 @@ def test_lattice_sums_long_pieces_and_fits_whole_words(spark):
     assert [r.lang_pred for r in got] == ["en", "fr"] and min(r.score for r in got) > 0.9
 
 
+def test_language_choice_by_enumeration(spark):
+    """The language of greatest product over words of the sum over all segmentations, computed plainly."""
+    d = docs(spark, ["das ist ein haus", "the house is old", "une maison et un chat", "das haus und der hund", "the dog and a cat", "le chien est ici"] * 3)
+    d = d.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 3 == 1, "en").otherwise("fr"))
+    model = langid.learn(d, RANKS)
+    keys, langs, p, _ = model.value
+    row = {k: i for i, k in enumerate(keys)}
+
+    def total(word, c):
+        sums = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                at = row.get(int.from_bytes(b"\1" + word[i:j], "big"))
+                sums[j] += sums[i] * p[at, c] if at is not None else 0.0
+        return np.log(max(sums[-1], 1e-300))
+
+    texts = ["das chat", "a house", "le haus is", "hund", "zzz", "maison maison the", "", "12 ?!", "é", None, "the " * 400 + "x" * 300]
+    got = {r.doc_id: r for r in langid.predict(docs(spark, texts), model).collect()}
+    for k, t in enumerate(texts):
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+        elif k < 10:
+            z = np.array([sum(total(b" " + w.encode(), c) for w in t.split()) for c in range(len(langs))])
+            assert got[k].lang_pred == langs[int(z.argmax())] and abs(got[k].score - 1 / np.exp(z - z.max()).sum()) < 1e-9
+    assert got[10].lang_pred == "en" and langid.predict(docs(spark, texts).where("false"), model).count() == 0
+    nobody = langid.learn(d.where("false"), RANKS)
+    assert {r.lang_pred for r in langid.predict(d, nobody).collect()} == {"und"}
+
+
 def test_language_fit_counts_every_word_of_the_sample(spark):
     rng = random.Random(5)
     rare = ["zz" + "".join(rng.choices("qxj", k=6)) for _ in range(30)]  # each met once, behind 160,000 words met twice
