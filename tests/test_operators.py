@@ -1,5 +1,6 @@
 """Properties of the operators on small inputs with known answers."""
 
+import shutil
 from itertools import combinations
 
 import numpy as np
@@ -299,8 +300,6 @@ def test_chunk_sink_refuses(spark, tmp_path):
         corpus.append_chunks(rows, at, ("image",))
     more = spark.createDataFrame([("image", 2, 4, 7, True)], rows.schema)
     assert {r.bucket: r.tokens for r in corpus.append_chunks(more, at, ("image",)).collect()} == {"en": 10, "image": 17}
-    import shutil
-
     shutil.rmtree(f"{at}/chunks/bucket=en")
     with pytest.raises(ValueError, match="disagree"):
         corpus.append_chunks(more.withColumn("chunk_no", F.lit(9).cast("bigint")), at, ("image",))
@@ -318,8 +317,6 @@ def test_streams_refuse_bad_and_missing_sums(spark, tmp_path):
     good.write.parquet(paths["chunks"])
     fold.fold(spark, paths["chunks"], rows.schema, paths["state"], paths["offsets"])
     good.write.mode("append").parquet(paths["chunks"])
-    import shutil
-
     shutil.rmtree(paths["state"])
     with pytest.raises(Exception, match="missing"):
         fold.fold(spark, paths["chunks"], rows.schema, paths["state"], paths["offsets"])
