@@ -45,7 +45,7 @@ MISS = 1e-5
 #: Members outside a bucket's largest component above which a second key deals the bucket.
 SPREAD = 4096
 #: Rows of the two sides of a block of signatures, and bytes of text of a side of a block of texts.
-LEFT, RIGHT, BLOCK_BYTES = 512, 1024, 16 << 20
+LEFT, RIGHT, BLOCK_BYTES = 256, 512, 16 << 20
 #: Words whose hashes a task remembers (a few ten MB), and bytes of text that it signs at once.
 REMEMBERED, SIGNED_BYTES = 100_000, 2 << 20
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
