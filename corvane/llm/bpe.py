@@ -39,9 +39,11 @@ from corvane.llm.common import chunks, shared_value
 #: Units of the corpus's vocabulary that are broadcast with their ids, and the longest of these in characters.
 SHARED, SHARED_LENGTH = 150_000, 40
 #: Distinct units that a task counts, and units that are replayed at once.
-COUNTED, REPLAYED = 200_000, 50_000
+COUNTED, REPLAYED = 100_000, 50_000
 #: Units whose ids a task remembers; beyond it only the broadcast ones stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text that a task encodes at once.
+ENCODED_BYTES = 4 << 20
 #: A space beside other white space.
 SPACED = re.compile(r" \s|\s ")
 _END = -1
@@ -293,7 +295,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
     def run(batches):
         bpe, known = load(*shared.value), dict(_known(common))
-        for part, texts in chunks(batches, "__text"):
+        for part, texts in chunks(batches, "__text", ENCODED_BYTES):
             if len(known) > REMEMBERED:
                 known = dict(_known(common))
             ids = bpe.encode_texts(texts, known)
