@@ -23,7 +23,6 @@ import heapq
 import pickle
 import re
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, shared_value
+from corvane.llm.common import chunks, held, let_go, shared_value
 
 #: Units of the corpus's vocabulary that are broadcast with their ids, and the longest of these in characters.
 SHARED, SHARED_LENGTH = 150_000, 40
@@ -219,11 +218,12 @@ class ByteBpe:
         return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1])].tobytes()
 
 
-@lru_cache(maxsize=2)
 def load(content: bytes, pattern: str) -> ByteBpe:
     """A vocabulary file's tokenizer, built once in a worker for a content."""
-    lines = (line.split() for line in content.splitlines() if line.strip())
-    return ByteBpe({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
+    def built() -> ByteBpe:
+        lines = (line.split() for line in content.splitlines() if line.strip())
+        return ByteBpe({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
+    return held("bpe", "ranks", (content, pattern), built)
 
 
 def vocabulary(spark, ranks_path: str, pattern: str):
@@ -235,6 +235,7 @@ def vocabulary(spark, ranks_path: str, pattern: str):
 def _counted(shared):
     """(unit, n) of a task's texts."""
     def run(batches):
+        let_go("bpe")
         bpe, counts = load(*shared.value), Counter()
         for _, texts in chunks(batches, "__text"):
             for text in texts:
@@ -263,17 +264,10 @@ def replayed_vocabulary(texts: DataFrame, shared, most: int = SHARED) -> DataFra
     return often.select("unit").repartition(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_replayed(shared), "unit string, ids binary")
 
 
-_KNOWN: dict[int, tuple[object, dict[str, bytes]]] = {}
-
-
 def _known(shared) -> dict[str, bytes]:
     """A broadcast vocabulary as a look-up, built once in a worker and held with the value it was built from."""
     value = shared.value
-    if id(value) not in _KNOWN:
-        _KNOWN.clear()
-        units, ids = pickle.loads(zstandard.decompress(value))
-        _KNOWN[id(value)] = value, dict(zip(units, ids, strict=True))
-    return _KNOWN[id(value)][1]
+    return held("bpe", "units", value, lambda: dict(zip(*pickle.loads(zstandard.decompress(value)), strict=True)))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
@@ -294,6 +288,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     common = shared_value(docs.sparkSession, zstandard.compress(pickle.dumps((units.column("unit").to_pylist(), units.column("ids").to_pylist()))))
 
     def run(batches):
+        let_go("bpe")
         bpe, known = load(*shared.value), dict(_known(common))
         for part, texts in chunks(batches, "__text", ENCODED_BYTES):
             if len(known) > REMEMBERED:

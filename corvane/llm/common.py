@@ -6,9 +6,10 @@ model samples, counters and parameters reach the driver.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -110,6 +111,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
+#: (operator, what) -> (value, model built from it), in a Python worker.
+_HELD: dict[tuple[str, str], tuple] = {}
+
+
+def held(owner: str, what: str, value, build: Callable):
+    """A model that a worker builds once for a value. Only models of the operator that asked last stay."""
+    if (owner, what) not in _HELD or _HELD[owner, what][0] != value:
+        _HELD.pop((owner, what), None)
+        let_go(owner)
+        _HELD[owner, what] = value, build()
+    return _HELD[owner, what][1]
+
+
+def let_go(owner: str = "") -> None:
+    """At a task's start: drop the models of other operators, and give the system back what earlier tasks left free.
+
+    Workers live on from stage to stage, so that else each holds what every stage before it needed.
+    """
+    for key in [k for k in _HELD if k[0] != owner]:
+        del _HELD[key]
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_value(spark: SparkSession, value):
     """A broadcast of model parameters, whose size depends on parameters and not on the data."""
     return prepare(spark).sparkContext.broadcast(value)

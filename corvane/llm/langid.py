@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, fold, shared_value, unit_hash, written
+from corvane.llm.common import chunks, fold, held, let_go, shared_value, unit_hash, written
 
 UNDETERMINED = "und"
 #: Bytes of the longest piece that a vocabulary may have (a longer one is an error).
@@ -40,7 +40,8 @@ TEXTS = 1500
 ROUNDS = 4
 #: Expected counts are summed as whole multiples of 1 / UNIT, so that a sum doesn't depend on its order.
 UNIT = 1 << 24
-REMEMBERED = 300_000
+#: Words whose scores a task remembers, and bytes of text that it scores at once.
+REMEMBERED, SCORED_BYTES = 150_000, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -194,6 +195,7 @@ class Lattice:
 def _expecting(shared):
     """Expected piece counts of a task's (lang, w, n) rows under the probabilities of the last round."""
     def run(batches):
+        let_go("langid")
         keys, langs, p = shared.value
         lattice, place = _lattice(keys), {lang: c for c, lang in enumerate(langs)}
         out, logp = np.zeros((len(langs), lattice.size + 1)), np.log(np.maximum(p, 1e-300))
@@ -258,16 +260,9 @@ def learn(docs: DataFrame, ranks_path: str, learn_where=None, texts: int = TEXTS
     return shared_value(spark, (keys, langs, p, np.full(len(langs), -np.log(max(1, len(langs))))))
 
 
-_LATTICES: dict[tuple[int, ...], Lattice] = {}
-
-
 def _lattice(keys: list[int]) -> Lattice:
     """The lattice of a vocabulary, built once in a worker."""
-    mark = tuple(keys)
-    if mark not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[mark] = Lattice(keys)
-    return _LATTICES[mark]
+    return held("langid", "lattice", keys, lambda: Lattice(keys))
 
 
 def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
@@ -276,15 +271,18 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: s
     With ``name`` the two are called ``<name>_pred`` and ``<name>_score``.
     """
     pred_name, score_name = (f"{name}_pred", f"{name}_score") if name else ("lang_pred", "score")
-    source = docs.select(*keep, F.col("text").alias("__text"))
+    # A text that is kept goes to the workers once.
+    named = "text" if "text" in keep else "__text"
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(named))
     types = dict(source.dtypes)
 
     def run(batches):
+        let_go("langid")
         keys, langs, p, prior = model.value
         lattice = _lattice(keys)
         place: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
-        for part, texts in chunks(batches, "__text", 2 << 20):
+        for part, texts in chunks(batches, named, SCORED_BYTES):
             if len(place) > REMEMBERED:
                 place, scores = {}, np.zeros((0, len(langs)))
             words = [(t or "").split() for t in texts]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, connected, prepare, roots, written
+from corvane.llm.common import chunks, connected, let_go, prepare, roots, written
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS, BATCH = 32, 4, 16
@@ -46,6 +46,8 @@ MISS = 1e-5
 SPREAD = 4096
 #: Rows of the two sides of a block of signatures, and bytes of text of a side of a block of texts.
 LEFT, RIGHT, BLOCK_BYTES = 512, 1024, 16 << 20
+#: Pairs of signatures that are compared at once (8 MB a side).
+PAIRS = 16_384
 #: Words whose hashes a task remembers (a few ten MB), and bytes of text that it signs at once.
 REMEMBERED, SIGNED_BYTES = 100_000, 2 << 20
 #: Up to so many ids are broadcast to the documents; more are joined by a shuffle.
@@ -105,6 +107,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     known = WordHashes()
     for part, texts in chunks(batches, "text", SIGNED_BYTES):
         sizes, keys, sigs = [], [], []
@@ -133,6 +136,7 @@ def _bands(sig: np.ndarray, first: int = 0) -> np.ndarray:
 def _banded(anew: bool = False):
     """(id, keys) of signatures: their bands, with ``anew`` also those of the minima grouped anew."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sig = _matrix(batch.column("sig"))
             keys = np.concatenate((_bands(sig), _bands(sig[:, _ANEW], BANDS)), axis=1) if anew else _bands(sig)
@@ -155,19 +159,24 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def _survive(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Places of the signature pairs that no batch pruned."""
-    live, same = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for n, need in least.items():
-        same[live] += (a[live, n - BATCH : n] == b[live, n - BATCH : n]).sum(axis=1)
-        live = live[same[live] >= need]
-    return live
+def _survive(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Places of the pairs of signatures a[i], b[j] that no batch pruned, some pairs at a time."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(i), PAIRS):
+        live = np.arange(at, min(at + PAIRS, len(i)))
+        same = np.zeros(len(live), np.int64)
+        for n, need in least.items():
+            same = same + (a[i[live], n - BATCH : n] == b[j[live], n - BATCH : n]).sum(axis=1)
+            live, same = live[same >= need], same[same >= need]
+        out.append(live)
+    return np.concatenate(out)
 
 
 def _pruned(least: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["a", "b"]).take(pa.array(_survive(_matrix(batch.column("sa")), _matrix(batch.column("sb")), least)))
+            each = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).take(pa.array(_survive(_matrix(batch.column("sa")), each, _matrix(batch.column("sb")), each, least)))
     return run
 
 
@@ -195,11 +204,11 @@ def _pairs(rows: pa.Table, least: dict[int, int]) -> tuple[np.ndarray, np.ndarra
         meet[at : at + 32] &= (sig[part][:, None, :BATCH] == sig[y][None, :, :BATCH]).sum(axis=2) >= first
     i, j = np.nonzero(meet)
     i, j = x[i], y[j]
-    live = _survive(sig[i], sig[j], least)
+    live = _survive(sig, i, sig, j, least)
     i, j = i[live], j[live]
     if band >= 0 and len(i):
-        shared = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(axis=2)
-        once = shared.argmax(axis=1) == band
+        parts = (slice(at, at + PAIRS) for at in range(0, len(i), PAIRS))
+        once = np.concatenate([(sig[i[x]] == sig[j[x]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band for x in parts])
         i, j = i[once], j[once]
     return i, j
 
@@ -234,6 +243,7 @@ def _blocks(of: tuple[str, ...], work):
     least = least_matches(THRESHOLD / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[pa.RecordBatch] = []
         known = WordHashes()
         last = None
@@ -259,6 +269,7 @@ def _then_none(batches: Iterator) -> Iterator:
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     known, last = WordHashes(), (None, None)
     for batch in batches:
         keep = []

@@ -40,12 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, prepare, shared_value, written
+from corvane.llm.common import chunks, let_go, prepare, shared_value, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA = 0.9
 #: Bits of the bitmap that preselects terms (a fixed size; collisions cost only work).
 BITMAP = 1 << 20
+#: Words whose terms a task remembers.
+REMEMBERED = 200_000
 _TRACE = re.compile(r"[0-9@]")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -128,13 +130,14 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tup
 _FOUND = "__row bigint, kinds array<bigint>, spans array<struct<s:int,k:int,e:int>>, base_sha256 string, __same bigint, __entities array<bigint>, __terms array<struct<t:string,at:array<struct<s:int,e:int>>>>"
 
 
-def _finder(keep: tuple[str, ...]):
+def _finder(keep: tuple[str, ...], named: str):
     def run(batches):
         terms_type = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))
         span_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-        for part, texts in chunks(batches, "__text"):
+        let_go()
+        for part, texts in chunks(batches, named):
             counts, spans, digests, same, held, terms = [], [], [], [], [], []
-            for text in texts:
+            for text in (t or "" for t in texts):
                 found = base_spans(text)
                 counts.append([sum(k == x for _, k, _ in found) for x in range(4)])
                 spans.append([{"s": s, "k": k, "e": e} for s, k, e in found])
@@ -167,9 +170,10 @@ def term_bit(term: str) -> int:
 
 def _counter(shared):
     def run(batches):
+        let_go()
         known, counts = _Terms(np.unpackbits(np.frombuffer(shared.value, np.uint8))), Counter()
         for _, texts in chunks(batches, "text"):
-            if len(known) > 1_000_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             for text in texts:
                 counts.update({t for found in map(known.__getitem__, set(text.split())) if found for t in found})
@@ -185,11 +189,15 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted({term_bit(t) for t in batch.column("t").to_pylist()}), pa.int32())], names=["bit"])
 
 
-def _based(docs: DataFrame, keep: tuple[str, ...], name: str) -> DataFrame:
-    """``keep`` columns, the base spans of every row, and what its terms' search needs, written."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+def _based(docs: DataFrame, keep: tuple[str, ...], name: str, kept: str | None = None) -> DataFrame:
+    """``keep`` columns, the base spans of every row, and what its terms' search needs, written.
+
+    ``kept`` names the one of ``keep`` that holds the text, which then goes to the workers once.
+    """
+    text = [] if kept else [F.col("text").alias("__text")]
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), *text, F.monotonically_increasing_id().alias("__row"))
     types = dict(source.dtypes)
-    return written(source.mapInArrow(_finder(keep), "".join(f"`{c}` {types[c]}, " for c in keep) + _FOUND), f"{name}-found")
+    return written(source.mapInArrow(_finder(keep, kept or "__text"), "".join(f"`{c}` {types[c]}, " for c in keep) + _FOUND), f"{name}-found")
 
 
 def _disclosing(found: DataFrame, docs: DataFrame, alpha: float, name: str) -> DataFrame | None:
@@ -244,7 +252,8 @@ def spans_text(spans="spans"):
 
 
 def _masked(batches):
-    for part, texts in chunks(batches, "text", 8 << 20):
+    let_go()
+    for part, texts in chunks(batches, "text"):
         out = []
         for text, spans in zip(texts, part.column("__spans").to_pylist(), strict=True):
             if text is None or not spans:
@@ -268,7 +277,7 @@ def masked(docs: DataFrame, alpha: float = ALPHA, name: str = "pii") -> DataFram
     prepare(docs.sparkSession)
     own = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # names that clash with no result
     source = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), F.col("text"))
-    found = _based(source, tuple(own.values()), name)
+    found = _based(source, tuple(own.values()), name, own["text"])
     spans = _all_spans(found, source, alpha, name)
     types = dict(docs.dtypes)
     ready = spans.select(*(F.col(own[c]).alias(own[c]) for c in docs.columns if c != "text"), F.col(own["text"]).alias("text"), F.col("spans").alias("__spans"))

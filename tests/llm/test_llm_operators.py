@@ -800,3 +800,41 @@ def test_pipeline_stages_in_sequence(spark):
     leaked = {r.doc_id for r in decontaminate.leaks(d, common.table(spark, SMALL, "benchmark")).collect()}
     assert {r.doc_id for r in out} == kept - leaked
     assert Counter(r.decoded_sha256 for r in out)
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    """A stage's texts go to a worker in batches of a few MB, not of 10,000 rows of any length."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    rows = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("word "), 10_000).alias("text"))
+    got = rows.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in got) == 400
+    assert max(r["bytes"] for r in got) < 8 << 20
+
+
+def test_a_worker_holds_models_of_one_operator_only(tokenizer):
+    bpe.load(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)), P.PATTERN)
+    assert {owner for owner, _ in common._HELD} == {"bpe"}
+    keys = langid.vocabulary_keys(b"")
+    assert langid._lattice(keys) is langid._lattice(list(keys))
+    assert {owner for owner, _ in common._HELD} == {"langid"}
+    common.let_go()
+    assert not common._HELD
+
+
+def test_survivors_do_not_depend_on_how_many_pairs_are_compared_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2, (40, minhash.SIZE), dtype=np.uint32)
+    sig[20:] = np.where(rng.random((20, minhash.SIZE)) < 0.1, sig[20:], sig[:20])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    least = minhash.least_matches(0.75)
+    same = (sig[i] == sig[j]).reshape(len(i), -1, minhash.BATCH).sum(axis=2).cumsum(axis=1)
+    want = np.flatnonzero((same >= np.array(list(least.values()))).all(axis=1))
+    for size in (7, 1 << 14):
+        monkeypatch.setattr(minhash, "PAIRS", size)
+        assert minhash._survive(sig, i, sig, j, least).tolist() == want.tolist()
+    assert 40 < len(want) < len(i)
